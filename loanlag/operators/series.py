@@ -1,8 +1,8 @@
 """Daily counts (W8) and trailing late-payment ratios (W9-W11, W13).
 
 Only ``daily_counts`` touches fact rows.  The trailing window runs over its
-output, at most one row per calendar day and group, so the window's single
-partition (or one per group) is bounded by the calendar, not by the data.
+output, at most one row per calendar day and group, and is partitioned by
+blocks of days, so its tasks stay small and parallel however long the series.
 """
 
 from __future__ import annotations
@@ -40,11 +40,17 @@ def daily_counts(facts: DataFrame, day: str = DEFAULT_DAY_KEY, by: Sequence[str]
             .withColumn("ontime_pct", percent("ontime", F.col("ontime") + F.col("late"))))
 
 
+# Days per window partition.  Each partition holds at most this many days
+# (per group) plus the ``days - 1`` days before them.
+BLOCK_DAYS = 366
+
+
 def trailing_late_ratio(
     daily: DataFrame,
     days: int = DEFAULT_WINDOW_DAYS,
     by: Sequence[str] = (),
     as_of: str | dt.date | dt.datetime | None = None,
+    block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """Trailing ``days``-calendar-day totals for every day present in ``daily``.
 
@@ -52,17 +58,32 @@ def trailing_late_ratio(
     so days without data neither produce output nor count towards the
     ``days``.  Output: ``[by], day, late_pct, due_total, late_total,
     never_total``.  Days after ``as_of`` and null days are dropped first.
+
+    The calendar is cut into blocks of ``block_days`` (at least ``days``) and
+    the window is partitioned by block as well as ``by``, so no task holds the
+    whole series.  A day is also copied, as a halo row, into the following
+    block when that block's windows reach back to it; halo rows feed the sums
+    but are not output, so every day's totals are exact.
     """
-    if int(days) < 1:
+    days = int(days)
+    if days < 1:
         raise ValueError("days must be >= 1")
     d = daily.where(F.col("day").isNotNull())
     if as_of is not None:
         d = d.where(F.col("day") <= F.lit(as_date(as_of)))
-    w = Window.partitionBy(*by).orderBy(F.unix_date("day")).rangeBetween(-(int(days) - 1), 0)
-    ontime = F.sum("ontime").over(w)
-    late = F.sum("late").over(w)
-    never = F.sum("never").over(w)
-    return (d.select(*by, "day", ontime.alias("_on"), late.alias("_late"), never.alias("_never"))
+    span = max(int(block_days), days)
+    day_no = F.unix_date("day")
+    home = F.floor(day_no / span)
+    reach = F.floor((day_no + (days - 1)) / span)
+    blocked = d.select(*by, "day", "ontime", "late", "never",
+                       home.alias("_home"), F.explode(F.sequence(home, reach)).alias("_block"))
+    w = (Window.partitionBy(*by, "_block").orderBy(day_no)
+         .rangeBetween(-(days - 1), Window.currentRow))
+    sums = blocked.select(*by, "day", "_home", "_block",
+                          F.sum("ontime").over(w).alias("_on"),
+                          F.sum("late").over(w).alias("_late"),
+                          F.sum("never").over(w).alias("_never"))
+    return (sums.where(F.col("_block") == F.col("_home"))
             .select(*by, "day",
                     percent("_late", F.col("_late") + F.col("_on")).alias("late_pct"),
                     (F.col("_late") + F.col("_on")).alias("due_total"),

@@ -91,5 +91,5 @@ def monthly_report(
     facts = payment_facts(tables, as_of, keys=["multi_payment_number"],
                           payment_types=payment_types, exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing,
-                          created_between=(bounds[0], bounds[-1]))
+                          created_between=(bounds[0], bounds[-1]), with_country=False)
     return monthly_instalment_cohorts(facts, bounds[0], periods, "created_day")

@@ -35,8 +35,8 @@ WINDOW = 30
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _facts(t, keys=None):
-    return payment_facts(t, AS_OF, keys=keys)
+def _facts(t, keys=None, with_country=True):
+    return payment_facts(t, AS_OF, keys=keys, with_country=with_country)
 
 
 def _build_queries() -> dict[str, Query]:
@@ -72,11 +72,11 @@ def _build_queries() -> dict[str, Query]:
     reg("payment_facts")(lambda t: _facts(t))
 
     # W8-W11, W13
-    reg("daily_counts_created")(lambda t: daily_counts(_facts(t, []), "created_day"))
-    reg("daily_counts_due")(lambda t: daily_counts(_facts(t, ["dtpayment"]), "dtpayment"))
-    reg("late_ratio_created")(lambda t: late_ratio(_facts(t, []), "created_day", WINDOW, AS_OF))
-    reg("late_ratio_due")(lambda t: late_ratio(_facts(t, ["dtpayment"]), "dtpayment", WINDOW, AS_OF))
-    reg("late_ratio_7d")(lambda t: late_ratio(_facts(t, []), "created_day", 7, AS_OF))
+    reg("daily_counts_created")(lambda t: daily_counts(_facts(t, [], with_country=False), "created_day"))
+    reg("daily_counts_due")(lambda t: daily_counts(_facts(t, ["dtpayment"], with_country=False), "dtpayment"))
+    reg("late_ratio_created")(lambda t: late_ratio(_facts(t, [], with_country=False), "created_day", WINDOW, AS_OF))
+    reg("late_ratio_due")(lambda t: late_ratio(_facts(t, ["dtpayment"], with_country=False), "dtpayment", WINDOW, AS_OF))
+    reg("late_ratio_7d")(lambda t: late_ratio(_facts(t, [], with_country=False), "created_day", 7, AS_OF))
     reg("late_ratio_by_group_created")(
         lambda t: group_late_ratio(_facts(t, []), GROUP, True, "created_day", WINDOW, AS_OF))
     reg("late_ratio_by_group_due")(

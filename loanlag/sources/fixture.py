@@ -12,6 +12,9 @@ two-element array, not from a union that would scan the source again.
 
 from __future__ import annotations
 
+import threading
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,12 +131,24 @@ def credit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), "credit_reports")
 
 
+# Plans already built, per session and directory.  A DataFrame is an
+# immutable plan, so every query over the same tables can share one; building
+# (and analysing) the bindings again per query only costs driver time.
+_BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
 def load_fixture(spark: SparkSession, sf_dir: str) -> LoanTables:
     """The five loan tables derived from the TPC-H tables in ``sf_dir``."""
-    return LoanTables(
-        multi_payments=multi_payments(spark, sf_dir),
-        loans=loans(spark, sf_dir),
-        users=users(spark, sf_dir),
-        listings=listings(spark, sf_dir),
-        credit_reports=credit_reports(spark, sf_dir),
-    )
+    key = sf_dir.rstrip("/")
+    with _LOCK:
+        per_session = _BUILT.setdefault(spark, {})
+        if key not in per_session:
+            per_session[key] = LoanTables(
+                multi_payments=multi_payments(spark, key),
+                loans=loans(spark, key),
+                users=users(spark, key),
+                listings=listings(spark, key),
+                credit_reports=credit_reports(spark, key),
+            )
+        return per_session[key]
