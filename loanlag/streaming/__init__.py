@@ -1,0 +1,3 @@
+from .daily import due_day_counts, late_ratio_from_counts, payment_stream, start_due_day_counts
+
+__all__ = ["due_day_counts", "late_ratio_from_counts", "payment_stream", "start_due_day_counts"]
