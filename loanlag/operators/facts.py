@@ -5,13 +5,16 @@ carrying the borrower's country and the loan's creation day.  A loan with
 two eligible listings contributes its payments twice: the fan-out is part of
 the analysis and is kept.
 
-Plan shape.  The payments table is by far the largest input.  When only
-counts are wanted (every series and cohort report), the payments are first
-reduced to per-loan sums (``loan_status_counts``) with a partial aggregate
-before any shuffle, so the big table crosses the network once, already
-collapsed; a loan holding a third of all payments becomes a handful of rows.
-The detail form (``keys=None``) exists for inspection and for callers that need
-payment rows.
+Plan shape.  The payments table is by far the largest input.  Series keyed
+by the loan's creation day only need per-loan counts, so the payments are
+first reduced to per-loan sums (``keys=[]``, ``loan_status_counts``) with a
+partial aggregate before any shuffle: the big table crosses the network once,
+collapsed to one row per loan, and a loan holding a third of all payments
+becomes a handful of rows.  Keys that vary per payment (due day, instalment
+number) are nearly unique per (loan, key), so pre-summing them cannot shrink
+the shuffle; those series join payment rows (``keys=None``) and aggregate
+after the join, which also lets AQE broadcast a loan side it measured small
+and stream the payments without shuffling them at all.
 """
 
 from __future__ import annotations

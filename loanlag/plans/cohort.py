@@ -55,7 +55,10 @@ def cohort_late_ratios(
     """
     if day not in DAY_KEYS:
         raise ValueError(f"day must be one of {DAY_KEYS}, not {day!r}")
-    keys = ["dtpayment"] if day == "dtpayment" else []
+    # Per-loan sums for the creation-day key (one row per loan crosses the
+    # network); payment rows for the due-day key, where (loan, day) pairs are
+    # nearly unique and pre-summing could not shrink anything.
+    keys = [] if day == "created_day" else None
     facts = payment_facts(tables, as_of, keys=keys, payment_types=payment_types,
                           exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing)
@@ -88,8 +91,9 @@ def monthly_report(
     ``periods`` months from ``start``.  The creation span is applied to the
     loans before any join."""
     bounds = period_bounds(as_date(start), int(periods))
-    facts = payment_facts(tables, as_of, keys=["multi_payment_number"],
-                          payment_types=payment_types, exclude_refinanced=exclude_refinanced,
+    # Payment rows, not per-(loan, instalment) sums: that pair is nearly unique.
+    facts = payment_facts(tables, as_of, payment_types=payment_types,
+                          exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing,
                           created_between=(bounds[0], bounds[-1]), with_country=False)
     return monthly_instalment_cohorts(facts, bounds[0], periods, "created_day")

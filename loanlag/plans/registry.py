@@ -73,14 +73,14 @@ def _build_queries() -> dict[str, Query]:
 
     # W8-W11, W13
     reg("daily_counts_created")(lambda t: daily_counts(_facts(t, [], with_country=False), "created_day"))
-    reg("daily_counts_due")(lambda t: daily_counts(_facts(t, ["dtpayment"], with_country=False), "dtpayment"))
+    reg("daily_counts_due")(lambda t: daily_counts(_facts(t, None, with_country=False), "dtpayment"))
     reg("late_ratio_created")(lambda t: late_ratio(_facts(t, [], with_country=False), "created_day", WINDOW, AS_OF))
-    reg("late_ratio_due")(lambda t: late_ratio(_facts(t, ["dtpayment"], with_country=False), "dtpayment", WINDOW, AS_OF))
+    reg("late_ratio_due")(lambda t: late_ratio(_facts(t, None, with_country=False), "dtpayment", WINDOW, AS_OF))
     reg("late_ratio_7d")(lambda t: late_ratio(_facts(t, [], with_country=False), "created_day", 7, AS_OF))
     reg("late_ratio_by_group_created")(
         lambda t: group_late_ratio(_facts(t, []), GROUP, True, "created_day", WINDOW, AS_OF))
     reg("late_ratio_by_group_due")(
-        lambda t: group_late_ratio(_facts(t, ["dtpayment"]), GROUP, True, "dtpayment", WINDOW, AS_OF))
+        lambda t: group_late_ratio(_facts(t), GROUP, True, "dtpayment", WINDOW, AS_OF))
     reg("late_ratio_group_only")(
         lambda t: group_late_ratio(_facts(t, []), GROUP, False, "created_day", WINDOW, AS_OF))
     reg("late_ratio_all_payments")(lambda t: all_payments_late_ratio(t.multi_payments, AS_OF, WINDOW))
