@@ -5,16 +5,18 @@ carrying the borrower's country and the loan's creation day.  A loan with
 two eligible listings contributes its payments twice: the fan-out is part of
 the analysis and is kept.
 
-Plan shape.  The payments table is by far the largest input.  Series keyed
-by the loan's creation day only need per-loan counts, so the payments are
-first reduced to per-loan sums (``keys=[]``, ``loan_status_counts``) with a
-partial aggregate before any shuffle: the big table crosses the network once,
-collapsed to one row per loan, and a loan holding a third of all payments
-becomes a handful of rows.  Keys that vary per payment (due day, instalment
-number) are nearly unique per (loan, key), so pre-summing them cannot shrink
-the shuffle; those series join payment rows (``keys=None``) and aggregate
-after the join, which also lets AQE broadcast a loan side it measured small
-and stream the payments without shuffling them at all.
+Plan shape.  The payments table is by far the largest input, and one loan
+may hold a third of it.  Every series therefore sums the payments per loan
+(``keys=[]``, creation-day series) or per loan and key (due day, instalment
+number) with a partial aggregate *before* the first shuffle
+(``loan_status_counts``), and only then joins the loan side.  A loan's rows
+are then bounded by its distinct keys (calendar days, instalments), whatever
+the skew; for the creation-day key the shuffle also shrinks to one row per
+loan.  Keys that vary per payment cost a second exchange (by loan, for the
+join), the price of that bound: AQE cannot split a hot loan in the final join,
+whose loan side is itself a join already partitioned by loan.  The detail
+form (``keys=None``) exists for inspection and for callers that need payment
+rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,11 @@ helpers add a second join key that is 0 for non-null keys and a deterministic
 spread value for null keys, so the null rows scatter over the partitions while
 the match result stays the same.  The spread is a hash of the row's own
 columns: a retried task recomputes exactly the same partitioning.
+
+The right side's spread key must stay a real join key.  A literal 0 would be
+constant-folded by the optimizer into a post-join filter, leaving the null
+rows hashed together again; ``key * 0`` is 0 for every key that can match
+(and null otherwise), which no rule folds.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ def _salted(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.withColumn(_SALT, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("int"))
 
 
+def _zero(key: str):
+    return (F.col(key) * 0).cast("int").alias("_rs")
+
+
 def anti_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                        buckets: int = NULL_SPREAD) -> DataFrame:
     """Rows of ``left`` whose ``left_key`` matches no ``right_key``.
@@ -30,7 +39,7 @@ def anti_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     A null ``left_key`` never matches, so such rows are always kept.
     """
     l = _salted(left, left_key, buckets)
-    r = right.select(F.col(right_key).alias("_rk"), F.lit(0).alias("_rs"))
+    r = right.select(F.col(right_key).alias("_rk"), _zero(right_key))
     cond = (l[left_key] == r["_rk"]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left_anti").drop(_SALT)
 
@@ -42,6 +51,6 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     The right key column is dropped from the output.
     """
     l = _salted(left, left_key, buckets)
-    r = right.withColumn("_rs", F.lit(0))
+    r = right.withColumn("_rs", _zero(right_key))
     cond = (l[left_key] == r[right_key]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left").drop(_SALT, "_rs").drop(r[right_key])

@@ -55,10 +55,9 @@ def cohort_late_ratios(
     """
     if day not in DAY_KEYS:
         raise ValueError(f"day must be one of {DAY_KEYS}, not {day!r}")
-    # Per-loan sums for the creation-day key (one row per loan crosses the
-    # network); payment rows for the due-day key, where (loan, day) pairs are
-    # nearly unique and pre-summing could not shrink anything.
-    keys = [] if day == "created_day" else None
+    # Payments are summed per loan (creation-day key) or per (loan, due day)
+    # before the join: a loan's rows never exceed its number of due days.
+    keys = [] if day == "created_day" else ["dtpayment"]
     facts = payment_facts(tables, as_of, keys=keys, payment_types=payment_types,
                           exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing)
@@ -91,8 +90,10 @@ def monthly_report(
     ``periods`` months from ``start``.  The creation span is applied to the
     loans before any join."""
     bounds = period_bounds(as_date(start), int(periods))
-    # Payment rows, not per-(loan, instalment) sums: that pair is nearly unique.
-    facts = payment_facts(tables, as_of, payment_types=payment_types,
+    # Summed per (loan, instalment) first: a loan's rows are bounded by its
+    # number of instalments, however many payments it holds.
+    facts = payment_facts(tables, as_of, keys=["multi_payment_number"],
+                          payment_types=payment_types,
                           exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing,
                           created_between=(bounds[0], bounds[-1]), with_country=False)

@@ -45,6 +45,14 @@ def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES // 2),
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES // 2),
+        # Let the runtime bloom filter from a selective loan side (a monthly
+        # report's six months of loans) prune the payments scan before any
+        # shuffle even when that side is far above the 10 MB default; the
+        # filter itself stays capped at 32 MB.
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(TARGET_PARTITION_BYTES),
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": str(30_000_000),
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(256 * 1024 * 1024),
     }
 
 
