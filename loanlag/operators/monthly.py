@@ -47,3 +47,8 @@ def monthly_instalment_cohorts(
         due.alias("due_total"),
         percent("never", due).alias("never_pct"),
         percent("late", due).alias("late_pct"))
+
+
+def in_cohort_order(report: DataFrame) -> DataFrame:
+    """The monthly report sorted by period, then instalment number."""
+    return report.orderBy("cohort_start", "multi_payment_number")

@@ -109,3 +109,8 @@ def payback_totals(payback: DataFrame, exclude: Iterable | None = None,
         "total_late", "total_not_late",
         percent("total_late", F.col("total_late") + F.col("total_not_late")).alias("late_pct"),
         "negative_customers")
+
+
+def by_late_pct(table: DataFrame) -> DataFrame:
+    """A payback table sorted by late percentage, then value (nulls first)."""
+    return table.orderBy("late_pct", F.col(table.columns[0]).asc_nulls_first())

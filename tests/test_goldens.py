@@ -179,3 +179,18 @@ def test_monthly_periods_cross_year_and_reject_missing_day(spark):
         (D(2014, 12, 5), 100.0), (D(2015, 1, 5), 100.0)]
     with pytest.raises(ValueError):
         op.monthly_instalment_cohorts(facts, "2014-01-30", 2)
+
+
+def test_output_orderings(spark):
+    series = op.trailing_late_ratio(_daily(spark, list(reversed(WINDOW_INPUT))), 30)
+    days = [r.day for r in op.in_day_order(series).collect()]
+    assert days == sorted(days)
+    reports = _reports(spark, [("A", 1, True, 1), ("B", 3, True, 2), (None, 0, True, 3), ("C", 1, False, 4)])
+    table = op.by_late_pct(op.factor_payback(reports, "country"))
+    assert [r.country for r in table.collect()] == ["C", "A", "B", None]
+    facts = spark.createDataFrame([(D(2014, 2, 20), 2), (D(2014, 1, 20), 3), (D(2014, 1, 20), 1)],
+                                  "created_day date, multi_payment_number int").withColumns(
+        {"ontime": F.lit(1), "late": F.lit(0), "never": F.lit(0)})
+    report = op.in_cohort_order(op.monthly_instalment_cohorts(facts, "2014-01-15", 2))
+    assert [(r.cohort_start, r.multi_payment_number) for r in report.collect()] == [
+        (D(2014, 1, 15), 1), (D(2014, 1, 15), 3), (D(2014, 2, 15), 2)]
