@@ -68,26 +68,26 @@ def trailing_late_ratio(
     days = int(days)
     if days < 1:
         raise ValueError("days must be >= 1")
-    d = daily.where(F.col("day").isNotNull())
+    keep = F.col("day").isNotNull()
     if as_of is not None:
-        d = d.where(F.col("day") <= F.lit(as_date(as_of)))
+        keep = keep & (F.col("day") <= F.lit(as_date(as_of)))
     span = max(int(block_days), days)
     day_no = F.unix_date("day")
     home = F.floor(day_no / span)
     reach = F.floor((day_no + (days - 1)) / span)
-    blocked = d.select(*by, "day", "ontime", "late", "never",
-                       home.alias("_home"), F.explode(F.sequence(home, reach)).alias("_block"))
+    blocked = daily.where(keep).select(
+        *by, "day", "ontime", "late", "never",
+        home.alias("_home"), F.explode(F.sequence(home, reach)).alias("_block"))
     w = (Window.partitionBy(*by, "_block").orderBy(day_no)
          .rangeBetween(-(days - 1), Window.currentRow))
     sums = blocked.select(*by, "day", "_home", "_block",
-                          F.sum("ontime").over(w).alias("_on"),
-                          F.sum("late").over(w).alias("_late"),
-                          F.sum("never").over(w).alias("_never"))
+                          *(F.sum(c).over(w).alias(f"_{c}") for c in ("ontime", "late", "never")))
+    on, late = F.col("_ontime"), F.col("_late")
     return (sums.where(F.col("_block") == F.col("_home"))
             .select(*by, "day",
-                    percent("_late", F.col("_late") + F.col("_on")).alias("late_pct"),
-                    (F.col("_late") + F.col("_on")).alias("due_total"),
-                    F.col("_late").alias("late_total"),
+                    percent(late, late + on).alias("late_pct"),
+                    (late + on).alias("due_total"),
+                    late.alias("late_total"),
                     F.col("_never").alias("never_total")))
 
 
