@@ -3,7 +3,11 @@
 The test data has no loan tables, so they are derived, deterministically,
 from ``customer``, ``nation``, ``orders`` and ``lineitem`` (see FIXTURES.md).
 The derivations deliberately plant nulls, orphans and duplicate rows so the
-null rules and join fan-outs of the analysis are exercised.
+null rules and join fan-outs of the analysis are exercised.  The key-modulo
+conditions below are those plants (a user missing for every 17th customer so
+that some loans have no user, a report missing for every 7th, a null flag for
+every 13th...), not sampling: every source row is read, every loan and
+payment is kept, and the tables grow with the source tables.
 
 Everything is a projection of one scan per source table; rows that appear
 twice (a second listing or credit report) come from ``explode`` of a one- or

@@ -75,3 +75,30 @@ def test_monthly_span_prunes_payments_before_the_shuffle(spark):
         text = plan_text(QUERIES["monthly_instalment_cohorts"](spark, SF001), "simple")
     scan_filter = [l for l in text.splitlines() if "might_contain" in l and "l_shipdate" in l]
     assert scan_filter
+
+
+# Shuffles per query in the at-scale shape.  late_ratio_created: payments
+# (partial-summed, by loan), loans (by loan), listings (by id, for the anti
+# join), parent ids (partial distinct, by id), eligible listings (by loan),
+# daily counts (partial, by day), window blocks.  The payments, the largest
+# table, cross the network once.  Grouped and due-day series add the users
+# join (loans by user, users by id, result by loan) and the per-(loan, day)
+# re-keying; payback tables shuffle only partial aggregates.
+EXCHANGES = {
+    "late_ratio_created": 7,
+    "late_ratio_due": 8,
+    "late_ratio_by_group_due": 10,
+    "monthly_instalment_cohorts": 7,
+    "daily_counts_all_payments": 1,
+    "factor_payback_country": 1,
+    "payback_totals": 2,
+    "behaviour_payback": 3,
+}
+
+
+@pytest.mark.parametrize("name", sorted(EXCHANGES))
+def test_shuffle_count(spark, name):
+    from loanlag.plans import exchange_count
+
+    with conf(spark, AT_SCALE):
+        assert exchange_count(QUERIES[name](spark, SF001)) == EXCHANGES[name]
