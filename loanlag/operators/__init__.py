@@ -1,5 +1,5 @@
 from .eligibility import due_payments, eligible_listings, open_loans
-from .facts import loan_borrowers, loan_status_counts, payment_facts, payment_status
+from .facts import loan_borrowers, loan_status_counts, loan_weights, payment_facts, payment_status
 from .joins import anti_join_nullable, left_join_nullable
 from .monthly import in_cohort_order, monthly_instalment_cohorts
 from .payback import behaviour_payback, by_late_pct, exclude_values, factor_payback, payback_totals
@@ -11,7 +11,7 @@ __all__ = [
     "behaviour_payback", "by_late_pct", "daily_counts", "due_payments", "eligible_listings",
     "exclude_values", "factor_payback", "group_late_ratio", "in_cohort_order", "in_day_order",
     "late_ratio",
-    "left_join_nullable", "loan_borrowers", "loan_status_counts",
+    "left_join_nullable", "loan_borrowers", "loan_status_counts", "loan_weights",
     "monthly_instalment_cohorts", "open_loans", "payback_totals",
     "payment_facts", "payment_status", "trailing_late_ratio",
 ]

@@ -66,6 +66,27 @@ def loan_borrowers(loans: DataFrame, users: DataFrame | None, listings: DataFram
     return l.join(lst, "loan_id").select(*cols)
 
 
+def loan_weights(loans: DataFrame, users: DataFrame | None, listings: DataFrame) -> DataFrame:
+    """One row per loan with at least one eligible listing: ``loan_id``,
+    ``country`` (unless ``users`` is None), ``created_day`` and ``listings``,
+    the number of its eligible listings.
+
+    The counting form of ``loan_borrowers``: the listing fan-out only
+    multiplies a loan's counts, so listings are counted per loan (partial
+    aggregate before the shuffle) and every later join is one-to-one on
+    ``loan_id``.  A loan named by a third of all listings costs one row.
+    """
+    per_loan = (listings.where(F.col("loan_id").isNotNull())
+                .groupBy("loan_id").agg(F.count(F.lit(1)).alias("listings")))
+    l = loans.select(F.col("id").alias("loan_id"), "user_id", "created_at")
+    cols = ["loan_id", F.to_date("created_at").alias("created_day"), "listings"]
+    if users is not None:
+        u = users.select(F.col("id").alias("_uid"), "country")
+        l = left_join_nullable(l, u, "user_id", "_uid")
+        cols.insert(1, "country")
+    return l.join(per_loan, "loan_id").select(*cols)
+
+
 def loan_status_counts(payments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per ``loan_id`` (and ``keys``): sums of ``ontime``, ``late``, ``never``."""
     bad = [k for k in keys if k not in FACT_KEYS]
@@ -93,8 +114,10 @@ def payment_facts(
     ``loan_id, country, created_day, dtpayment, multi_payment_number, ontime,
     late, never``.  With ``keys`` (a subset of ``dtpayment`` and
     ``multi_payment_number``) payments are pre-summed per loan and key before
-    the join, giving ``loan_id, country, created_day, *keys, ontime, late,
-    never`` with long counts; summing either form gives the same totals.
+    the join and weighted by the loan's number of eligible listings, giving
+    one row per loan and key: ``loan_id, country, created_day, *keys, ontime,
+    late, never`` with long counts.  Summing either form gives the same
+    totals.
 
     ``created_between=(lo, hi)`` keeps loans created on ``lo <= day < hi``
     (either bound may be None); it is applied to the loans before any join.
@@ -110,14 +133,19 @@ def payment_facts(
         loans = loans.where(created_day < F.lit(hi))
     listings = eligible_listings(tables.listings, payment_types, exclude_refinanced,
                                  exclude_refinancing)
-    borrowers = loan_borrowers(loans, tables.users if with_country else None, listings)
+    users = tables.users if with_country else None
     due = due_payments(tables.multi_payments, as_of)
     country = ["country"] if with_country else []
     if keys is None:
+        borrowers = loan_borrowers(loans, users, listings)
         facts = payment_status(due).join(borrowers, "loan_id")
         return facts.select("loan_id", *country, "created_day", "dtpayment",
                             "multi_payment_number", "ontime", "late", "never")
     keys = list(keys)
     counts = loan_status_counts(due, keys)
-    return counts.join(borrowers, "loan_id").select(
-        "loan_id", *country, "created_day", *keys, "ontime", "late", "never")
+    weights = loan_weights(loans, users, listings)
+    n = F.col("listings")
+    return counts.join(weights, "loan_id").select(
+        "loan_id", *country, "created_day", *keys,
+        (F.col("ontime") * n).alias("ontime"), (F.col("late") * n).alias("late"),
+        (F.col("never") * n).alias("never"))

@@ -59,3 +59,12 @@ def test_creation_bound_reaches_the_loans_scan(tables):
     facts = op.payment_facts(tables, AS_OF, keys=[], with_country=False)
     text = plan_text(facts.where(F.col("created_day") <= "2001-06-30"))
     assert "LessThan(o_orderdate,2001-07-01T00:00)" in text
+
+
+def test_listings_are_counted_per_loan_before_the_shuffle(tables):
+    import re
+
+    lines = plan_text(op.payment_facts(tables, AS_OF, keys=[]), "simple").splitlines()
+    partial = [i for i, l in enumerate(lines)
+               if re.search(r"HashAggregate\(keys=\[loan_id#\d+L\], functions=\[partial_count", l)]
+    assert partial and "Exchange hashpartitioning(loan_id" in lines[partial[0] - 1]
