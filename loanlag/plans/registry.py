@@ -84,6 +84,13 @@ def _build_queries() -> dict[str, Query]:
     reg("late_ratio_group_only")(
         lambda t: group_late_ratio(_facts(t, []), GROUP, False, "created_day", WINDOW, AS_OF))
     reg("late_ratio_all_payments")(lambda t: all_payments_late_ratio(t.multi_payments, AS_OF, WINDOW))
+    # Listing options carried through the whole series.
+    reg("late_ratio_created_weekly")(lambda t: late_ratio(
+        payment_facts(t, AS_OF, keys=[], payment_types=(3,), exclude_refinanced=False,
+                      with_country=False), "created_day", WINDOW, AS_OF))
+    reg("late_ratio_due_no_refinancing")(lambda t: late_ratio(
+        payment_facts(t, AS_OF, keys=["dtpayment"], exclude_refinancing=True, with_country=False),
+        "dtpayment", WINDOW, AS_OF))
     reg("daily_counts_all_payments")(lambda t: all_payments_daily(t.multi_payments, AS_OF))
     # Entry A as one pipeline: both series from one pass over the facts.
     reg("cohort_total_created")(lambda t: cohort_late_ratios(t, AS_OF, values=GROUP).total)
@@ -194,6 +201,17 @@ eligible AS (
     AND id NOT IN (SELECT DISTINCT parent_listing_id FROM listings
                    WHERE parent_listing_id IS NOT NULL))"""
 
+_ELIGIBLE_WEEKLY = """
+eligible AS (SELECT * FROM listings WHERE payment_type_id IN (3))"""
+
+_ELIGIBLE_NO_REFINANCING = """
+eligible AS (
+  SELECT * FROM listings
+  WHERE payment_type_id IN (4, 5, 6)
+    AND id NOT IN (SELECT DISTINCT parent_listing_id FROM listings
+                   WHERE parent_listing_id IS NOT NULL)
+    AND (parent_listing_id IS NULL OR parent_listing_id NOT IN (SELECT id FROM listings)))"""
+
 _BORROWERS = """
 borrowers AS (
   SELECT l.id AS loan_id, u.country, l.created_at, CAST(l.created_at AS DATE) AS created_day
@@ -254,10 +272,12 @@ facts_g AS (
   SELECT *, COALESCE(country IN ({_GROUP_SQL}), false) AS in_group FROM facts)"""
 
 
-def _late_ratio_sql(day: str, days: int, by_group: bool = False, group_only: bool = False) -> str:
+def _late_ratio_sql(day: str, days: int, by_group: bool = False, group_only: bool = False,
+                    eligible: str = _ELIGIBLE) -> str:
     by = "in_group" if by_group else ""
     where = "in_group" if group_only else "TRUE"
-    return _with(*_COHORT, _facts_g(by_group), _daily(day, where, by)) + _window(days, by)
+    cohort = (_DUE, eligible, _BORROWERS, _FACTS)
+    return _with(*cohort, _facts_g(by_group), _daily(day, where, by)) + _window(days, by)
 
 
 def _daily_sql(day: str) -> str:
@@ -384,6 +404,9 @@ WHERE payment_type_id IN (4, 5, 6)
     s["late_ratio_group_only"] = _late_ratio_sql("created_day", WINDOW, True, group_only=True)
     s["late_ratio_all_payments"] = _all_payments_sql(True)
     s["daily_counts_all_payments"] = _all_payments_sql(False)
+    s["late_ratio_created_weekly"] = _late_ratio_sql("created_day", WINDOW, eligible=_ELIGIBLE_WEEKLY)
+    s["late_ratio_due_no_refinancing"] = _late_ratio_sql("dtpayment", WINDOW,
+                                                         eligible=_ELIGIBLE_NO_REFINANCING)
     s["cohort_total_created"] = s["late_ratio_created"]
     s["cohort_by_group_due"] = s["late_ratio_by_group_due"]
     s["monthly_instalment_cohorts"] = _monthly_sql(MONTHLY_START)
