@@ -50,7 +50,8 @@ def start_due_day_counts(
 
     ``checkpoint_location`` must be shared storage: it holds the stream's
     offsets and aggregation state, so the query resumes exactly after a
-    failure.  Each micro-batch rewrites the whole (calendar-bounded) table.
+    failure.  Each micro-batch rewrites the whole (calendar-bounded) table,
+    so a batch replayed after a failure leaves the same table behind.
     """
     counts = due_day_counts(payment_stream(spark, source_dir, fmt), as_of)
 
