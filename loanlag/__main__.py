@@ -24,7 +24,7 @@ from . import presets
 from .operators import by_late_pct, in_cohort_order, in_day_order
 from .plans import behaviour_report, cohort_late_ratios, factor_report, monthly_report
 from .session import configure
-from .sources import LoanTables, jdbc_options, read_jdbc_table, read_tables
+from .sources import LoanTables, jdbc_options, read_jdbc_table, read_jdbc_table_split, read_tables
 from .sources.schemas import SCHEMAS
 
 GROUPS = {
@@ -57,10 +57,15 @@ def _read_properties(path: str) -> dict[str, str]:
 def load_tables(spark: SparkSession, args: argparse.Namespace) -> LoanTables:
     if args.jdbc_url:
         props = _read_properties(args.jdbc_properties) if args.jdbc_properties else {}
+        creds = dict(user=props.get("user"), password=props.get("password"),
+                     driver=props.get("driver"))
+        if args.jdbc_partitions > 1:
+            return LoanTables(**{
+                name: read_jdbc_table_split(spark, name, args.jdbc_url, args.jdbc_partitions,
+                                            **creds)
+                for name in SCHEMAS})
         return LoanTables(**{
-            name: read_jdbc_table(spark, name, jdbc_options(
-                args.jdbc_url, name, user=props.get("user"), password=props.get("password"),
-                driver=props.get("driver")))
+            name: read_jdbc_table(spark, name, jdbc_options(args.jdbc_url, name, **creds))
             for name in SCHEMAS})
     return read_tables(spark, {name: os.path.join(args.input, name) for name in SCHEMAS},
                        args.format)
@@ -108,6 +113,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", default="parquet", help="file format of --input")
     p.add_argument("--jdbc-url", help="read the tables over JDBC instead of --input")
     p.add_argument("--jdbc-properties", help="file with user=, password=, driver= lines")
+    p.add_argument("--jdbc-partitions", type=int, default=1,
+                   help="parallel range reads per table, split on its id column")
     p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     p.add_argument("--as-of", default=None, help="instant the payments are due by")
     p.add_argument("--day", default=presets.DEFAULT_DAY_KEY, choices=presets.DAY_KEYS)

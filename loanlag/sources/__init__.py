@@ -1,8 +1,9 @@
 from .fixture import load_fixture
-from .readers import LoanTables, conform, jdbc_options, read_jdbc_table, read_table, read_tables
+from .readers import (LoanTables, conform, jdbc_bounds_query, jdbc_options, read_jdbc_table,
+                      read_jdbc_table_split, read_table, read_tables)
 from .schemas import SCHEMAS
 
 __all__ = [
-    "LoanTables", "SCHEMAS", "conform", "jdbc_options", "load_fixture",
-    "read_jdbc_table", "read_table", "read_tables",
+    "LoanTables", "SCHEMAS", "conform", "jdbc_bounds_query", "jdbc_options", "load_fixture",
+    "read_jdbc_table", "read_jdbc_table_split", "read_table", "read_tables",
 ]

@@ -97,3 +97,32 @@ def read_jdbc_table(spark: SparkSession, table: str, options: dict[str, str]) ->
     database query by Catalyst, as are the pruned columns.
     """
     return conform(spark.read.format("jdbc").options(**options).load(), table)
+
+
+def jdbc_bounds_query(table: str, column: str = "id") -> str:
+    """SQL run by the database to find the split bounds: one row back."""
+    return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+
+
+def read_jdbc_table_split(spark: SparkSession, table: str, url: str, num_partitions: int,
+                          column: str = "id", user: str | None = None,
+                          password: str | None = None, driver: str | None = None) -> DataFrame:
+    """Read one table over JDBC in ``num_partitions`` parallel range queries.
+
+    The bounds come from a MIN/MAX query the database answers (a single row
+    to the driver); rows outside them are still read by the first and last
+    range, so nothing is lost if the table grows meanwhile.
+    """
+    base = {"url": url, "query": jdbc_bounds_query(table, column)}
+    for key, value in (("user", user), ("password", password), ("driver", driver)):
+        if value is not None:
+            base[key] = value
+    bounds = spark.read.format("jdbc").options(**base).load().first()
+    if bounds is None or bounds["lo"] is None:
+        opts = jdbc_options(url, table, user, password, driver=driver)
+    else:
+        lo, hi = int(bounds["lo"]), int(bounds["hi"])
+        opts = jdbc_options(url, table, user, password, partition_column=column,
+                            lower_bound=lo, upper_bound=max(hi, lo + 1),
+                            num_partitions=num_partitions, driver=driver)
+    return read_jdbc_table(spark, table, opts)

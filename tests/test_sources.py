@@ -101,3 +101,9 @@ def test_nothing_reads_outside_the_given_directory(spark):
         files = getattr(t, name).inputFiles()
         assert files and all("/sf0.01/" in f for f in files), name
     assert F is not None
+
+
+def test_jdbc_bounds_query():
+    from loanlag.sources import jdbc_bounds_query
+
+    assert jdbc_bounds_query("loans") == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM loans"
