@@ -90,7 +90,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> dict[str, DataFrame]:
     if args.job == "cohort":
         series = cohort_late_ratios(tables, args.as_of, args.day, args.days,
                                     _values(args.group), not args.group_only,
-                                    checkpoint=args.checkpoint, **listing_opts)
+                                    checkpoint=args.checkpoint, cache=not args.checkpoint,
+                                    **listing_opts)
         out = {"total": in_day_order(series.total), "by_group": in_day_order(series.by_group)}
     elif args.job == "monthly":
         out = {"monthly": in_cohort_order(monthly_report(tables, args.as_of, args.start,

@@ -44,6 +44,7 @@ def cohort_late_ratios(
     exclude_refinanced: bool = True,
     exclude_refinancing: bool = False,
     checkpoint: bool = False,
+    cache: bool = False,
 ) -> CohortSeries:
     """Overall and group trailing late ratios from a single pass over the facts.
 
@@ -51,7 +52,9 @@ def cohort_late_ratios(
     by the calendar; the overall series sums its two groups.  With
     ``checkpoint=True`` that small table is written to the cluster's shared
     ``spark.checkpoint.dir`` first, so both series (and any re-run after a
-    lost executor) read it instead of re-running the joins.
+    lost executor) read it instead of re-running the joins.  ``cache=True``
+    keeps it in executor storage instead: reused while it lasts, recomputed
+    from lineage if an executor holding it is lost.
     """
     if day not in DAY_KEYS:
         raise ValueError(f"day must be one of {DAY_KEYS}, not {day!r}")
@@ -67,6 +70,8 @@ def cohort_late_ratios(
     if checkpoint:
         checkpoint_dir(daily.sparkSession)
         daily = daily.checkpoint(eager=True)
+    elif cache:
+        daily = daily.persist()
     total_daily = (daily.groupBy("day")
                    .agg(F.sum("ontime").alias("ontime"), F.sum("late").alias("late"),
                         F.sum("never").alias("never"))
