@@ -85,13 +85,22 @@ def local_session(
     )
     for key, value in {**BASE_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
-    if checkpoint_dir:
+    if checkpoint_dir and not _active_checkpoint_dir():
+        # Only where none is set: a session that already names a shared
+        # checkpoint folder keeps it.
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _active_checkpoint_dir() -> str | None:
+    active = SparkSession.getActiveSession()
+    if active is None:
+        return None
+    return active.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for reliable checkpoints.
 
