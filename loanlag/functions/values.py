@@ -31,16 +31,19 @@ def in_values(col: Column, values: Iterable, dtype: T.DataType | None = None) ->
     """True when ``col`` equals one of ``values``; False for null or no match.
 
     With ``dtype`` given, values of another kind (say strings against a
-    boolean column) are dropped first: they can never be equal.
+    boolean column) are dropped first: they can never be equal.  A ``None``
+    among the values matches null, as Python's ``in`` would (the string
+    ``'None'`` is an ordinary value and does not).
     """
     vals = list(values)
+    matches_null = any(v is None for v in vals)
+    vals = [v for v in vals if v is not None]
     if dtype is not None:
         vals = _same_kind(vals, dtype)
     else:
         vals = list(dict.fromkeys(vals))
-    if not vals:
-        return F.lit(False)
-    return F.coalesce(col.isin(vals), F.lit(False))
+    test = F.coalesce(col.isin(vals), F.lit(False)) if vals else F.lit(False)
+    return (test | col.isNull()) if matches_null else test
 
 
 def column_in_values(df: DataFrame, column: str, values: Iterable) -> Column:

@@ -194,3 +194,14 @@ def test_output_orderings(spark):
     report = op.in_cohort_order(op.monthly_instalment_cohorts(facts, "2014-01-15", 2))
     assert [(r.cohort_start, r.multi_payment_number) for r in report.collect()] == [
         (D(2014, 1, 15), 1), (D(2014, 1, 15), 3), (D(2014, 2, 15), 2)]
+
+
+def test_membership_follows_python_in(spark):
+    from loanlag.functions import in_values
+
+    df = spark.createDataFrame([("A",), ("None",), (None,)], "c string")
+    flags = lambda vals: [r.f for r in df.select(in_values(F.col("c"), vals).alias("f")).collect()]
+    assert flags(["A"]) == [True, False, False]
+    assert flags(["None"]) == [False, True, False]
+    assert flags([None]) == [False, False, True]
+    assert flags([]) == [False, False, False]
