@@ -28,7 +28,7 @@ def _same_kind(values: Iterable, dtype: T.DataType) -> list:
 
 
 def in_values(col: Column, values: Iterable, dtype: T.DataType | None = None) -> Column:
-    """True when ``col`` equals one of ``values``; False for null or no match.
+    """True when ``col`` equals one of ``values``, else False (never null).
 
     With ``dtype`` given, values of another kind (say strings against a
     boolean column) are dropped first: they can never be equal.  A ``None``
