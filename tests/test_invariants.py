@@ -99,3 +99,11 @@ def test_null_spread_join_matches_plain_anti_join(tables):
     b = listings.join(known, listings["parent_listing_id"] == known["_known_id"], "left_anti")
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0
+
+
+def test_pipeline_group_only_matches_operator(tables):
+    series = cohort_late_ratios(tables, AS_OF, day="dtpayment", values=GROUP, include_rest=False)
+    facts = op.payment_facts(tables, AS_OF, keys=["dtpayment"])
+    want = op.group_late_ratio(facts, GROUP, False, "dtpayment", 30, AS_OF)
+    assert series.by_group.count() == want.count() > 0
+    assert series.by_group.exceptAll(want).count() == 0
