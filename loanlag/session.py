@@ -45,6 +45,10 @@ def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES // 2),
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES // 2),
+        # No broadcast from file-size estimates: a join side is broadcast only
+        # once AQE has measured its shuffle output under the adaptive
+        # threshold (default 10 MB); otherwise the join stays sort-merge.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
         # Let the runtime bloom filter from a selective loan side (a monthly
         # report's six months of loans) prune the payments scan before any
         # shuffle even when that side is far above the 10 MB default; the

@@ -86,6 +86,7 @@ def test_cluster_sizing():
     assert shuffle_partitions_for(1, 8) == 16
     conf = cluster_conf(10 * 2**40, 4000)
     assert conf["spark.sql.adaptive.enabled"] == "true"
+    assert conf["spark.sql.autoBroadcastJoinThreshold"] == "-1"
     assert int(conf["spark.sql.shuffle.partitions"]) >= 8000
 
 
