@@ -24,6 +24,8 @@ BASE_CONF = {
 
 # Per-task shuffle volume to aim for at scale.
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+# Largest measured shuffle output AQE may turn into a broadcast.
+ADAPTIVE_BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 def shuffle_partitions_for(input_bytes: int, total_cores: int) -> int:
@@ -47,8 +49,10 @@ def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES // 2),
         # No broadcast from file-size estimates: a join side is broadcast only
         # once AQE has measured its shuffle output under the adaptive
-        # threshold (default 10 MB); otherwise the join stays sort-merge.
+        # threshold; otherwise the join stays sort-merge.  The adaptive value
+        # must be explicit, as it defaults to the static one.
         "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(ADAPTIVE_BROADCAST_BYTES),
         # Let the runtime bloom filter from a selective loan side (a monthly
         # report's six months of loans) prune the payments scan before any
         # shuffle even when that side is far above the 10 MB default; the

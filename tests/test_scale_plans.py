@@ -102,3 +102,17 @@ def test_shuffle_count(spark, name):
 
     with conf(spark, AT_SCALE):
         assert exchange_count(QUERIES[name](spark, SF001)) == EXCHANGES[name]
+
+
+def test_cluster_settings_broadcast_only_after_measurement(spark):
+    from loanlag.session import cluster_conf
+
+    settings = {k: v for k, v in cluster_conf(10 * 2**30, 8).items()
+                if "autoBroadcastJoinThreshold" in k}
+    with conf(spark, settings):
+        df = QUERIES["late_ratio_created"](spark, SF001)
+        assert len(df.collect()) > 0  # runs this DataFrame's own adaptive plan
+        text = plan_text(df, "simple")
+    final, initial = text.split("Initial Plan")
+    assert "BroadcastHashJoin" not in initial  # nothing broadcast on estimates
+    assert "BroadcastHashJoin" in final        # small sides broadcast once measured

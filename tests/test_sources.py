@@ -87,6 +87,7 @@ def test_cluster_sizing():
     conf = cluster_conf(10 * 2**40, 4000)
     assert conf["spark.sql.adaptive.enabled"] == "true"
     assert conf["spark.sql.autoBroadcastJoinThreshold"] == "-1"
+    assert int(conf["spark.sql.adaptive.autoBroadcastJoinThreshold"]) > 0
     assert int(conf["spark.sql.shuffle.partitions"]) >= 8000
 
 
