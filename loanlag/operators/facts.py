@@ -6,17 +6,20 @@ two eligible listings contributes its payments twice: the fan-out is part of
 the analysis and is kept.
 
 Plan shape.  The payments table is by far the largest input, and one loan
-may hold a third of it.  Every series therefore sums the payments per loan
-(``keys=[]``, creation-day series) or per loan and key (due day, instalment
-number) with a partial aggregate *before* the first shuffle
-(``loan_status_counts``), and only then joins the loan side.  A loan's rows
-are then bounded by its distinct keys (calendar days, instalments), whatever
-the skew; for the creation-day key the shuffle also shrinks to one row per
-loan.  Keys that vary per payment cost a second exchange (by loan, for the
-join), the price of that bound: AQE cannot split a hot loan in the final join,
-whose loan side is itself a join already partitioned by loan.  The detail
-form (``keys=None``) exists for inspection and for callers that need payment
-rows.
+may hold a third of it.  Creation-day series only need per-loan counts: the
+payments are summed per loan with a partial aggregate *before* the first
+shuffle (``keys=[]``, ``loan_status_counts``), so that shuffle carries one
+row per loan per map task and a hot loan costs nothing extra.  Keys that vary
+per payment (due day, instalment number) are nearly unique per (loan, key),
+so pre-summing would not shrink anything; those facts join payment rows to
+the loan side once, with hot loans salted (``joins.salted_join``): a loan
+holding a third of all payments is spread over many tasks and its loan-side
+row is replicated to each.  A report over a creation span (the monthly
+cohorts) pre-sums per loan and key instead: its selective loan side then
+feeds a runtime bloom filter that drops other loans' payments in the scan.
+Listings are counted per loan first
+(``loan_weights``), so every counting join is one-to-one on the loan.  The
+detail form (``keys=None``) keeps one row per payment and listing.
 """
 
 from __future__ import annotations
@@ -31,9 +34,13 @@ from ..functions.status import status_columns
 from ..presets import THIRTY_DAY_PAYMENT_TYPES
 from ..sources.readers import LoanTables
 from .eligibility import due_payments, eligible_listings, open_loans
-from .joins import left_join_nullable
+from .joins import MAX_HOT_KEYS, hot_keys, left_join_nullable, salted_join
 
 FACT_KEYS = ("dtpayment", "multi_payment_number")
+# A loan with more due payments than this is salted in per-payment joins:
+# about one shuffle partition's worth of rows.
+HOT_LOAN_ROWS = 1_000_000
+SALT_BUCKETS = 64
 
 
 def payment_status(payments: DataFrame) -> DataFrame:
@@ -107,17 +114,23 @@ def payment_facts(
     exclude_refinancing: bool = False,
     created_between: tuple[dt.date | None, dt.date | None] = (None, None),
     with_country: bool = True,
+    hot_loan_rows: int = HOT_LOAN_ROWS,
+    salt_buckets: int = SALT_BUCKETS,
 ) -> DataFrame:
     """Payment facts of the cohort analysis (W7).
 
     ``keys=None`` gives one row per payment x eligible listing with int flags:
     ``loan_id, country, created_day, dtpayment, multi_payment_number, ontime,
-    late, never``.  With ``keys`` (a subset of ``dtpayment`` and
-    ``multi_payment_number``) payments are pre-summed per loan and key before
-    the join and weighted by the loan's number of eligible listings, giving
-    one row per loan and key: ``loan_id, country, created_day, *keys, ontime,
-    late, never`` with long counts.  Summing either form gives the same
-    totals.
+    late, never``.  With ``keys`` the counts are weighted by the loan's number
+    of eligible listings instead of repeating rows, giving ``loan_id, country,
+    created_day, *keys, ontime, late, never`` with long counts: ``keys=[]``
+    pre-sums the payments per loan before the join (one row per loan);
+    ``keys`` naming ``dtpayment``/``multi_payment_number`` keep one row per
+    payment, joined with hot loans (more than ``hot_loan_rows`` due payments)
+    spread over ``salt_buckets`` tasks, unless ``created_between`` narrows the
+    loans: then payments are pre-summed per loan and key, so the runtime
+    bloom filter from the selective loan side prunes them in the scan.
+    Summing any form gives the same totals.
 
     ``created_between=(lo, hi)`` keeps loans created on ``lo <= day < hi``
     (either bound may be None); it is applied to the loans before any join.
@@ -142,10 +155,25 @@ def payment_facts(
         return facts.select("loan_id", *country, "created_day", "dtpayment",
                             "multi_payment_number", "ontime", "late", "never")
     keys = list(keys)
-    counts = loan_status_counts(due, keys)
+    bad = [k for k in keys if k not in FACT_KEYS]
+    if bad:
+        raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
     weights = loan_weights(loans, users, listings)
+    if keys and created_between == (None, None):
+        spread = ["id", "dtpayment", "multi_payment_number"]
+        rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
+        joined = salted_join(rows, weights, "loan_id", hot, salt_buckets, spread)
+    else:
+        # Per-loan (and key) sums first.  With a creation span the loan side
+        # is selective, and this shape lets Spark's runtime bloom filter from
+        # it prune the payments in the scan, before the partial aggregate;
+        # the replication of a salted join would hide the loan side from
+        # that rule.  A loan's rows stay bounded by its distinct keys.
+        joined = loan_status_counts(due, keys).join(weights, "loan_id")
     n = F.col("listings")
-    return counts.join(weights, "loan_id").select(
+    return joined.select(
         "loan_id", *country, "created_day", *keys,
-        (F.col("ontime") * n).alias("ontime"), (F.col("late") * n).alias("late"),
-        (F.col("never") * n).alias("never"))
+        (F.col("ontime") * n).cast("long").alias("ontime"),
+        (F.col("late") * n).cast("long").alias("late"),
+        (F.col("never") * n).cast("long").alias("never"))

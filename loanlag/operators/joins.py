@@ -54,3 +54,42 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     r = right.withColumn("_rs", _zero(right_key))
     cond = (l[left_key] == r[right_key]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left").drop(_SALT, "_rs").drop(r[right_key])
+
+
+# Hot keys: at most this many are salted, the largest first.  The list is
+# broadcast, so its size is bounded by this constant, not by the data; keys
+# left off it are still joined exactly, only unsalted.
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """Values of ``key`` holding more than ``min_rows`` rows of ``df``
+    (the ``max_keys`` largest), as a one-column DataFrame.
+
+    The count per key is a partial aggregate before its shuffle, so even a
+    key with a third of all rows costs one row per map task.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return (counts.where(F.col("_rows") > int(min_rows))
+            .orderBy(F.col("_rows").desc(), F.col(key)).limit(int(max_keys)).select(key))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, buckets: int,
+                spread: list[str]) -> DataFrame:
+    """Inner equi-join of ``big`` and ``small`` on ``key`` that splits hot keys.
+
+    Rows of ``big`` with a hot key are spread over ``buckets`` salt values by
+    a deterministic hash of ``spread`` columns; the matching ``small`` rows
+    are replicated once per salt value.  Both sides are then shuffled on
+    (key, salt), so a hot key lands in ``buckets`` tasks instead of one, and
+    each big row still meets every small row of its key exactly once.
+    """
+    flag = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    b = (big.join(flag, key, "left")
+         .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop("_hot"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    s = small.join(flag, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return b.join(s, [key, "_salt"]).drop("_salt")
