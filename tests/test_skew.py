@@ -71,3 +71,14 @@ def test_hot_loan_is_spread_over_tasks(spark, skewed):
                  .select(F.spark_partition_id().alias("p")).distinct().count())
     assert re.search(r"SortMergeJoin \[loan_id#\d+L, _salt#\d+\]", lines)
     assert tasks > 1  # without salting every row of the hot loan is in one task
+
+
+def test_hot_list_is_computed_once(spark, skewed):
+    with conf(spark, AT_SCALE):
+        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], with_country=False,
+                                 hot_loan_rows=1000, salt_buckets=8)
+        assert len(facts.collect()) > 0  # runs this DataFrame's own adaptive plan
+        final = plan_text(facts, "simple").split("Initial Plan")[0]
+    # the broadcast hot-loan list feeds both join sides from one computation
+    assert final.count("TakeOrderedAndProject") == 1
+    assert re.search(r"ReusedExchange \[loan_id#\d+L, _hot#\d+\]", final)
