@@ -62,5 +62,5 @@ def eligible_listings(
         out = out.join(parents, "id", "left_anti")
     if exclude_refinancing:
         known = listings.select(F.col("id").alias("_known_id"))
-        out = anti_join_nullable(out, known, "parent_listing_id", "_known_id")
+        out = anti_join_nullable(out, known, "parent_listing_id", "_known_id", spread_on=["id"])
     return out.select(*cols)

@@ -67,7 +67,7 @@ def loan_borrowers(loans: DataFrame, users: DataFrame | None, listings: DataFram
     cols = ["loan_id", "created_at", F.to_date("created_at").alias("created_day")]
     if users is not None:
         u = users.select(F.col("id").alias("_uid"), "country")
-        l = left_join_nullable(l, u, "user_id", "_uid")
+        l = left_join_nullable(l, u, "user_id", "_uid", spread_on=["loan_id"])
         cols.insert(1, "country")
     lst = listings.select("loan_id")
     return l.join(lst, "loan_id").select(*cols)
@@ -89,7 +89,7 @@ def loan_weights(loans: DataFrame, users: DataFrame | None, listings: DataFrame)
     cols = ["loan_id", F.to_date("created_at").alias("created_day"), "listings"]
     if users is not None:
         u = users.select(F.col("id").alias("_uid"), "country")
-        l = left_join_nullable(l, u, "user_id", "_uid")
+        l = left_join_nullable(l, u, "user_id", "_uid", spread_on=["loan_id"])
         cols.insert(1, "country")
     return l.join(per_loan, "loan_id").select(*cols)
 

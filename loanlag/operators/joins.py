@@ -23,8 +23,8 @@ NULL_SPREAD = 1024
 _SALT = "_null_spread"
 
 
-def _salted(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
+def _salted(df: DataFrame, key: str, buckets: int, spread_on: list[str] | None) -> DataFrame:
+    spread = F.pmod(F.xxhash64(*(spread_on or df.columns)), F.lit(buckets))
     return df.withColumn(_SALT, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("int"))
 
 
@@ -33,24 +33,27 @@ def _zero(key: str):
 
 
 def anti_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       buckets: int = NULL_SPREAD) -> DataFrame:
+                       buckets: int = NULL_SPREAD, spread_on: list[str] | None = None) -> DataFrame:
     """Rows of ``left`` whose ``left_key`` matches no ``right_key``.
 
-    A null ``left_key`` never matches, so such rows are always kept.
+    A null ``left_key`` never matches, so such rows are always kept.  Null
+    rows are spread by a hash of ``spread_on`` (default: all columns; a
+    unique column is enough and cheaper).
     """
-    l = _salted(left, left_key, buckets)
+    l = _salted(left, left_key, buckets, spread_on)
     r = right.select(F.col(right_key).alias("_rk"), _zero(right_key))
     cond = (l[left_key] == r["_rk"]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left_anti").drop(_SALT)
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       buckets: int = NULL_SPREAD) -> DataFrame:
+                       buckets: int = NULL_SPREAD, spread_on: list[str] | None = None) -> DataFrame:
     """``left`` left-outer-joined to ``right`` on ``left_key == right_key``.
 
-    The right key column is dropped from the output.
+    The right key column is dropped from the output; ``spread_on`` as in
+    ``anti_join_nullable``.
     """
-    l = _salted(left, left_key, buckets)
+    l = _salted(left, left_key, buckets, spread_on)
     r = right.withColumn("_rs", _zero(right_key))
     cond = (l[left_key] == r[right_key]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left").drop(_SALT, "_rs").drop(r[right_key])
