@@ -17,9 +17,9 @@ holding a third of all payments is spread over many tasks and its loan-side
 row is replicated to each.  A report over a creation span (the monthly
 cohorts) pre-sums per loan and key instead: its selective loan side then
 feeds a runtime bloom filter that drops other loans' payments in the scan.
-Listings are counted per loan first
-(``loan_weights``), so every counting join is one-to-one on the loan.  The
-detail form (``keys=None``) keeps one row per payment and listing.
+Listings are counted per loan first (``loan_weights``), so every counting
+join is one-to-one on the loan.  The detail form (``keys=None``) keeps one
+row per payment and listing.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def payment_facts(
     if bad:
         raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
     weights = loan_weights(loans, users, listings)
-    if keys and created_between == (None, None):
+    if keys and lo is None and hi is None:
         spread = ["id", "dtpayment", "multi_payment_number"]
         rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
         hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
