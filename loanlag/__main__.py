@@ -67,8 +67,9 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> LoanTables:
         return LoanTables(**{
             name: read_jdbc_table(spark, name, jdbc_options(args.jdbc_url, name, **creds))
             for name in SCHEMAS})
+    options = dict(opt.split("=", 1) for opt in args.read_option)
     return read_tables(spark, {name: os.path.join(args.input, name) for name in SCHEMAS},
-                       args.format)
+                       args.format, options)
 
 
 def _write(df: DataFrame, out: str, name: str) -> None:
@@ -112,6 +113,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("job", choices=["cohort", "monthly", "factor", "behaviour"])
     p.add_argument("--input", help="folder with one sub-folder per table")
     p.add_argument("--format", default="parquet", help="file format of --input")
+    p.add_argument("--read-option", action="append", default=[], metavar="KEY=VALUE",
+                   help="reader option for --input, e.g. header=true (repeatable)")
     p.add_argument("--jdbc-url", help="read the tables over JDBC instead of --input")
     p.add_argument("--jdbc-properties", help="file with user=, password=, driver= lines")
     p.add_argument("--jdbc-partitions", type=int, default=1,

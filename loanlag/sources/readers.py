@@ -52,9 +52,11 @@ def read_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
     return conform(reader.load(path), table)
 
 
-def read_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> LoanTables:
-    """Read all five tables from ``{table: path}``."""
-    return LoanTables(**{name: read_table(spark, name, paths[name], fmt) for name in SCHEMAS})
+def read_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
+                options: dict[str, str] | None = None) -> LoanTables:
+    """Read all five tables from ``{table: path}`` with the same reader options."""
+    return LoanTables(**{name: read_table(spark, name, paths[name], fmt, options)
+                         for name in SCHEMAS})
 
 
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None,

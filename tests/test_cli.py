@@ -65,3 +65,15 @@ def test_named_groups_and_defaults():
     from loanlag.presets import DEVELOPED_COUNTRIES
     assert _values("developed") == list(DEVELOPED_COUNTRIES)
     assert _values("A,B") == ["A", "B"]
+
+
+def test_csv_input_with_reader_options(spark, tables):
+    root = tempfile.mkdtemp(prefix="loanlag-cli-csv-")
+    for name in SCHEMAS:
+        getattr(tables, name).write.option("header", "true").csv(os.path.join(root, name))
+    out = _out()
+    run(spark, ["factor", "--input", root, "--format", "csv", "--read-option", "header=true",
+                "--out", out, "--factor", "account_age"])
+    got = spark.read.parquet(os.path.join(out, "payback"))
+    want = op.factor_payback(tables.credit_reports, "account_age")
+    assert got.count() == 24 and got.exceptAll(want).count() == 0
