@@ -121,5 +121,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; point it at shared storage "
             "before asking for a checkpointed plan"
         )
-    spark.sparkContext.setCheckpointDir(path)
     return path
