@@ -23,9 +23,10 @@ from ..sources.schemas import MULTI_PAYMENTS
 
 
 def payment_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
+                   max_files_per_trigger: int | None = None,
+                   options: dict[str, str] | None = None) -> DataFrame:
     """Payment rows as a stream of the files appearing under ``source_dir``."""
-    reader = spark.readStream.schema(MULTI_PAYMENTS).format(fmt)
+    reader = spark.readStream.schema(MULTI_PAYMENTS).format(fmt).options(**(options or {}))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return conform(reader.load(source_dir), "multi_payments")
