@@ -19,7 +19,7 @@ cohorts) pre-sums per loan and key instead: its selective loan side then
 feeds a runtime bloom filter that drops other loans' payments in the scan.
 Listings are counted per loan first (``loan_weights``), so every counting
 join is one-to-one on the loan.  The detail form (``keys=None``) keeps one
-row per payment and listing.
+row per payment and listing, joined with the same salting.
 """
 
 from __future__ import annotations
@@ -149,9 +149,11 @@ def payment_facts(
     users = tables.users if with_country else None
     due = due_payments(tables.multi_payments, as_of)
     country = ["country"] if with_country else []
+    spread = ["id", "dtpayment", "multi_payment_number"]
     if keys is None:
         borrowers = loan_borrowers(loans, users, listings)
-        facts = payment_status(due).join(borrowers, "loan_id")
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
+        facts = salted_join(payment_status(due), borrowers, "loan_id", hot, salt_buckets, spread)
         return facts.select("loan_id", *country, "created_day", "dtpayment",
                             "multi_payment_number", "ontime", "late", "never")
     keys = list(keys)
@@ -160,7 +162,6 @@ def payment_facts(
         raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
     weights = loan_weights(loans, users, listings)
     if keys and lo is None and hi is None:
-        spread = ["id", "dtpayment", "multi_payment_number"]
         rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
         hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
         joined = salted_join(rows, weights, "loan_id", hot, salt_buckets, spread)

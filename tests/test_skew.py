@@ -34,6 +34,9 @@ def skewed(tables):
 def _series(t):
     return {
         "due_by_group": op.group_late_ratio(op.payment_facts(t, AS_OF), GROUP, True, "dtpayment", 30, AS_OF),
+        "due_detail_salted": op.group_late_ratio(
+            op.payment_facts(t, AS_OF, hot_loan_rows=1000, salt_buckets=8),
+            GROUP, True, "dtpayment", 30, AS_OF),
         "due_salted": op.group_late_ratio(
             op.payment_facts(t, AS_OF, keys=["dtpayment"], hot_loan_rows=1000, salt_buckets=8),
             GROUP, True, "dtpayment", 30, AS_OF),
@@ -47,7 +50,7 @@ def test_skewed_results_do_not_depend_on_the_plan(spark, skewed):
     with conf(spark, AT_SCALE):
         shuffled = {k: sorted(map(tuple, df.collect())) for k, df in _series(skewed).items()}
     assert small == shuffled
-    assert small["due_by_group"] == small["due_salted"]
+    assert small["due_by_group"] == small["due_salted"] == small["due_detail_salted"]
 
 
 def test_hot_user_partition_is_split(spark, skewed):
