@@ -55,3 +55,22 @@ def test_month_index_equals_period_search(spark):
                                          F.add_months(F.lit(start), idx)).alias("cohort")).collect()
         for r in rows:
             assert r.cohort == _period_of(r.day, bounds), (start, r.day)
+
+
+keyed_rows = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.integers(0, 1000)),
+                      max_size=40)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(big=keyed_rows, small=keyed_rows, hot=st.sets(st.integers(0, 8), max_size=4),
+       buckets=st.integers(1, 9))
+def test_salted_join_equals_plain_join(spark, big, small, hot, buckets):
+    from loanlag.operators.joins import salted_join
+
+    b = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(big)], "k long, v long, i long")
+    s = spark.createDataFrame(small, "k long, w long")
+    h = spark.createDataFrame([(k,) for k in sorted(hot)], "k long")
+    got = sorted(map(tuple, salted_join(b, s, "k", h, buckets, ["i", "v"]).select("k", "v", "i", "w").collect()))
+    want = sorted((bk, bv, i, sw) for i, (bk, bv) in enumerate(big) for sk, sw in small
+                  if bk is not None and bk == sk)
+    assert got == want
