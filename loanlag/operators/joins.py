@@ -6,7 +6,8 @@ most of a table into one task, although a null key can never match.  These
 helpers add a second join key that is 0 for non-null keys and a deterministic
 spread value for null keys, so the null rows scatter over the partitions while
 the match result stays the same.  The spread is a hash of the row's own
-columns: a retried task recomputes exactly the same partitioning.
+columns (or of a unique column the caller names): a retried task recomputes
+exactly the same partitioning.
 
 The right side's spread key must stay a real join key.  A literal 0 would be
 constant-folded by the optimizer into a post-join filter, leaving the null
