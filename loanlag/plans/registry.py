@@ -88,6 +88,12 @@ def _build_queries() -> dict[str, Query]:
     reg("late_ratio_created_weekly")(lambda t: late_ratio(
         payment_facts(t, AS_OF, keys=[], payment_types=(3,), exclude_refinanced=False,
                       with_country=False), "created_day", WINDOW, AS_OF))
+    # The same due-day series with every loan of more than one payment treated
+    # as hot (the 10,000 largest salted), so the salted join path is checked
+    # against the oracle on the real tables, not only under synthetic skew.
+    reg("late_ratio_due_salted")(lambda t: late_ratio(
+        payment_facts(t, AS_OF, keys=["dtpayment"], with_country=False, hot_loan_rows=1,
+                      salt_buckets=4), "dtpayment", WINDOW, AS_OF))
     reg("late_ratio_due_no_refinancing")(lambda t: late_ratio(
         payment_facts(t, AS_OF, keys=["dtpayment"], exclude_refinancing=True, with_country=False),
         "dtpayment", WINDOW, AS_OF))
@@ -405,6 +411,7 @@ WHERE payment_type_id IN (4, 5, 6)
     s["late_ratio_all_payments"] = _all_payments_sql(True)
     s["daily_counts_all_payments"] = _all_payments_sql(False)
     s["late_ratio_created_weekly"] = _late_ratio_sql("created_day", WINDOW, eligible=_ELIGIBLE_WEEKLY)
+    s["late_ratio_due_salted"] = s["late_ratio_due"]
     s["late_ratio_due_no_refinancing"] = _late_ratio_sql("dtpayment", WINDOW,
                                                          eligible=_ELIGIBLE_NO_REFINANCING)
     s["cohort_total_created"] = s["late_ratio_created"]
