@@ -13,3 +13,15 @@ def test_every_query_runs_at_sf0001(spark):
     for name, q in entry.queries().items():
         df = q(spark, SF0001)
         assert df.count() >= 0, name
+
+
+def test_every_column_is_named(spark):
+    """The driver compares columns by name: no generated names like sum(x)."""
+    import re
+
+    from tests.conftest import SF0001
+
+    for name, q in entry.queries().items():
+        cols = q(spark, SF0001).columns
+        assert len(cols) == len(set(cols)), name
+        assert all(re.fullmatch(r"[a-z_][a-z0-9_]*", c) for c in cols), (name, cols)
