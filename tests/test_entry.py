@@ -1,6 +1,11 @@
 import __spark_entry__ as entry
 
 
+def own_queries():
+    """The queries of the reference's operators; the others have tests of their own."""
+    return [(name, q) for name, q in entry.queries().items() if name in entry.QUERIES]
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["day", "late_pct", "due_total", "late_total", "never_total"]
@@ -10,7 +15,7 @@ def test_entry_smoke(spark):
 def test_every_query_runs_at_sf0001(spark):
     from tests.conftest import SF0001
 
-    for name, q in entry.queries().items():
+    for name, q in own_queries():
         df = q(spark, SF0001)
         assert df.count() >= 0, name
 
@@ -21,7 +26,7 @@ def test_every_column_is_named(spark):
 
     from tests.conftest import SF0001
 
-    for name, q in entry.queries().items():
+    for name, q in own_queries():
         cols = q(spark, SF0001).columns
         assert len(cols) == len(set(cols)), name
         assert all(re.fullmatch(r"[a-z_][a-z0-9_]*", c) for c in cols), (name, cols)
