@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, license_rules, permutation_index, pivot_table
+from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,16 +31,22 @@ def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(docs, hash_tree.layout(SHARDS), hash_tree.layout(SHARDS + 1))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of all documents."""
+    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and rule detections of all documents."""
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op9_license_rules)
+    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op9_license_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_hash_tree": hash_tree.oracle(hash_tree.layout(SHARDS), hash_tree.layout(SHARDS + 1)),
+    "op4_source_mix": source_mix.oracle(),
     "op9_license_rules": license_rules.oracle(),
 }
