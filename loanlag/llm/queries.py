@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix
+from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix, token_blocks
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +42,13 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written as packed blocks and read back."""
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op9_license_rules)
+    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op9_license_rules, op10_token_blocks)
 }
 
 ORACLE_SQL: dict[str, str] = {
