@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix, token_blocks
+from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix, token_blocks, tree_bpe
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with the lower-case word vocabulary."""
+    return tree_bpe.digests(tree_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and rule detections of all documents."""
     return license_rules.scan(table(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op9_license_rules, op10_token_blocks)
+    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op6_tree_bpe, op9_license_rules, op10_token_blocks)
 }
 
 ORACLE_SQL: dict[str, str] = {
