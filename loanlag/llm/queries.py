@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, license_rules, permutation_index, pivot_table, source_mix, token_blocks, tree_bpe
+from . import hash_tree, license_rules, permutation_index, pivot_table, simhash_cover, source_mix, token_blocks, tree_bpe
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles of all documents, linked within 4 bits."""
+    found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=4)
+    return found.select("doc_id", simhash_cover.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the lower-case word vocabulary."""
     return tree_bpe.digests(tree_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -53,7 +59,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op6_tree_bpe, op9_license_rules, op10_token_blocks)
+    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op5_simhash_cover, op6_tree_bpe, op9_license_rules, op10_token_blocks)
 }
 
 ORACLE_SQL: dict[str, str] = {
