@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, hyper_langid, license_rules, permutation_index, pivot_table, simhash_cover, source_mix, token_blocks, tree_bpe
+from . import hash_tree, hyper_langid, license_rules, permutation_index, pivot_table, simhash_cover, source_mix, suffix_dedup, token_blocks, tree_bpe
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.digests(tree_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 400-byte strings."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400))
+
+
 def op8_hyper_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
     return hyper_langid.identify(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op5_simhash_cover, op6_tree_bpe, op8_hyper_langid, op9_license_rules, op10_token_blocks)
+    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op5_simhash_cover, op6_tree_bpe, op7_suffix_dedup, op8_hyper_langid, op9_license_rules, op10_token_blocks)
 }
 
 ORACLE_SQL: dict[str, str] = {
