@@ -40,6 +40,16 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_hash(text: Column) -> Column:
+    """A text's hash; with its id it names a row, as ids may be null or stand on several rows."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def id_key(id_: Column) -> Column:
+    """An id as a key that is never null."""
+    return F.coalesce(id_, F.lit(-(2**63)))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition that lets null keys meet."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -128,13 +128,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     kept = keep or []
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names])
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, text_col)
+    at = rows.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(matrix.shape[1]) if names else None
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(len(kept)):
+            for text in batch.column(at):
                 vector = space.bundle(text.as_py()) if space else None
                 cosines = matrix @ vector if vector is not None else None
                 best = int(np.argmax(cosines)) if cosines is not None else None
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[:-1])
+    schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[:len(kept)])
     return rows.mapInArrow(each, f"{schema}lang_pred string, score double")
 
 

@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_key, materialize, text_hash
 from .graph import components, forest
 
 SEED = 42
@@ -52,15 +52,15 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text_hash, fp) of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    return rows.mapInArrow(each, "doc_id long, text_hash long, fp long")
 
 
 class Anchors:
@@ -175,10 +175,11 @@ def links(distinct: DataFrame, threshold: int, parts: int = PARTS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row.
+    """(doc_id, text_hash, fp, root, component_id) of every row.
 
     Fingerprints at most ``threshold`` bits apart are linked; a row's
-    component is the smallest id it reaches by links, its own included.
+    component is the smallest id it reaches by links, its own included, and
+    ``root`` its component's smallest fingerprint.
     Equal fingerprints are one node, whatever their number.  A null or empty
     text, and one of white space alone, has fingerprint 0, which links like
     any other; a null id is never the smallest (null if there is no other);
@@ -190,8 +191,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, id_co
     found = components(links(smallest, threshold, parts))
     roots = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = roots.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    by_print = roots.join(labels, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = roots.join(labels, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, null last, then of the smallest text hash."""
+    found = near_duplicates(docs, shingle, threshold, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    winners = first.select(id_key(F.col("first.doc_id")).alias("__id"), F.col("first.text_hash").alias("__hash"))
+    rows = docs.withColumn("__id", id_key(F.col(id_col).cast("long"))).withColumn("__hash", text_hash(F.col(text_col)))
+    same = Window.partitionBy("__id", "__hash").orderBy("__id")
+    kept = rows.join(winners, ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    return kept.select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

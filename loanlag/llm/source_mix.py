@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, total_before
+from .common import id_key, materialize, text_hash, total_before
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block.
@@ -31,9 +31,9 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, shuffle): words of each row and its place in its source's shuffled order."""
+    """(doc_id, text_hash, source, size, shuffle): words of each row and its place in its source's shuffled order."""
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("shuffle"),
     )
 
@@ -101,7 +101,7 @@ def schedule(per_source: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row.
+    """(doc_id, text_hash, source, size, source_size, target, taken) of every row.
 
     ``taken``: the words that the schedule's slots take of the row, repeats
     counted: its source's blocks hold the shuffled rows one after another.
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per_source = materialize(targets(sizes))
     rows = sizes.join(per_source.select("src", F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
     rows = rows.drop("of").withColumn("bucket", F.substring("shuffle", 1, 3))
-    placed = total_before(rows, ["src"], "bucket", ["shuffle", "size"], "size", "before")
+    placed = total_before(rows, ["src"], "bucket", ["shuffle", "size", "text_hash"], "size", "before")
     used = schedule(per_source)
     whole = F.least(F.lit(BLOCK_WORDS).cast("long"), F.col("source_size") - F.col("block") * BLOCK_WORDS)
     used = used.join(per_source.select("src", "source_size"), "src").groupBy("src", "block").agg(
@@ -127,11 +127,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     end = F.least(F.col("before") + F.col("size") - F.col("block") * BLOCK_WORDS, F.lit(BLOCK_WORDS).cast("long"))
     pieces = pieces.withColumn("begin", begin).withColumn("end", end).join(used, ["src", "block"], "left")
     got = F.col("times") * (F.col("end") - F.col("begin")) + F.least(F.greatest(F.col("part") - F.col("begin"), F.lit(0).cast("long")), F.col("end") - F.col("begin"))
-    keys = ["doc_id", "source", "size", "source_size", "target"]
+    keys = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
     taken = pieces.groupBy(*keys, "before").agg(F.coalesce(F.sum(got), F.lit(0).cast("long")).alias("taken")).drop("before")
     return taken.unionByName(placed.where(F.col("size") == 0).select(*keys, F.lit(0).cast("long").alias("taken")))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix, with all their columns: a row stands as often as it is taken whole, and once more, cut, for the rest.
+
+    What is taken of rows of equal id and text is added up.
+    """
+    taken = mix(docs, id_col, text_col, source_col).groupBy(id_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), "size").agg(F.sum("taken").alias("__taken"))
+    rows = docs.withColumn("__id", id_key(F.col(id_col).cast("long"))).withColumn("__hash", text_hash(F.col(text_col)))
+    same = Window.partitionBy("__id", "__hash").orderBy("__id")
+    rows = rows.join(taken.where("__taken > 0").withColumnRenamed("size", "__size"), ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    whole, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
+    copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), rest.cast("int")), "")
+    cut = F.when(F.col("__copy") <= whole, F.col(text_col)).otherwise(first_words)
+    return copies.withColumn(text_col, cut).select(*docs.columns)
+
+
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL for ``mix``: the words of a source's first ``take`` in endless repetition."""
     weights = f"[{', '.join(f'{float(w)}::DOUBLE' for w in WEIGHTS)}]"

@@ -288,13 +288,31 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row.
+def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the characters that lie in them in part only."""
+    out = []
+    for first, stop in runs:
+        while first < stop and data[first] & 0xC0 == 0x80:
+            first += 1
+        while first < stop < len(data) and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        if first < stop:
+            out.append((first, stop))
+    return out
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP,
+    characters: bool = False, carry: list[str] | None = None,
+) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, carried) of every row.
 
     A byte is removed if a string of ``length`` bytes that also starts
     anywhere else, in this document or another, covers it; all of that is
     judged on the input.  ``spans`` are the maximal removed byte ranges,
-    (first, stop), ``kept`` the remaining bytes.  ``length`` is at least 300.
+    (first, stop), ``kept`` the remaining bytes.  With ``characters`` a
+    character that would be removed in part stays, so that ``kept`` is text.
+    ``carried`` holds the columns ``carry``.  ``length`` is at least 300.
     A null text counts as empty; texts shorter than ``length`` stay as they
     are; repeated rows are documents of their own, so that they remove each
     other; null ids are ids like others; an empty table gives no rows.  Other
@@ -302,10 +320,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     if length < REACH + 44:
         raise ValueError(f"length must be at least {REACH + 44}")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    spans = repeated_spans(rows, length, group)
-    joined = rows.join(spans, null_safe(rows, spans, ["doc_id", "text_hash"]), "left").select(rows["doc_id"], rows["text"], spans["spans"])
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "carried")
+    spans = repeated_spans(rows.drop("carried"), length, group)
+    joined = rows.join(spans, null_safe(rows, spans, ["doc_id", "text_hash"]), "left").select(rows["doc_id"], rows["text"], spans["spans"], rows["carried"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,14 +332,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode()
                 gone = merged(found.as_py() or [])
+                gone = whole_characters(data, gone) if characters else gone
                 edges = [0, *[x for r in gone for x in r], len(data)]
                 sizes.append(len(data))
                 runs.append([{"first": a, "stop": b} for a, b in gone])
                 kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "carried"])
 
-    return joined.mapInArrow(each, "doc_id long, n_bytes long, spans array<struct<first:int,stop:int>>, kept binary")
+    kind = joined.schema["carried"].dataType.simpleString()
+    return joined.mapInArrow(each, f"doc_id long, n_bytes long, spans array<struct<first:int,stop:int>>, kept binary, carried {kind}")
 
 
 def digests(removed: DataFrame) -> DataFrame:
