@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -11,20 +10,6 @@ CACHE_PIECES = 400_000
 #: Longer pieces are not kept.
 CACHED_LENGTH = 64
 
-#: A blank beside other white space, where pieces would not be independent.
-CROWDED = re.compile(r" \s|\s |\A\s|\s\Z")
-LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut before each blank that stands between two characters other than white space.
-
-    The blank begins the next piece.  Tokenizers that split at white space
-    first give the same ids for the pieces as for the whole.
-    """
-    parts = LONE_BLANK.split(text) if CROWDED.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if text else []
-
 
 class ChunkCache:
     """Maps pieces to their encodings; ``encode`` gets the pieces that are not known yet."""

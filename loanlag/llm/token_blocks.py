@@ -17,11 +17,13 @@ Segment, little-endian::
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, pieces, runs
+from .chunk_cache import runs
 from .common import shared_folder, total_before
 
 BLOCK = 128
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
+#: Pieces that a Python worker keeps; beyond it the cache starts anew.
+CACHE_PIECES = 1_000_000
 #: Share of a block's differences that its width covers.
 PERCENTILE = 0.9
+#: A blank between two characters other than white space.
+LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 MAGIC, HEAD, END_ID = b"PFR1", struct.Struct("<4sIQI"), 0
 DOCUMENT = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u4")])
 
@@ -131,32 +137,113 @@ class Segment:
         return unpack(self.data, self.starts[first:last])[begin - first * BLOCK:end - first * BLOCK]
 
 
-@lru_cache(maxsize=2)
-def library_cache(path: str) -> ChunkCache:
-    """A worker's cache of pieces encoded by the tokenizers library, as little-endian 32-bit ids."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Numbers(dict):
+    """Numbers pieces as they come; ``fresh`` lists those seen for the first time."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
+
+
+class LibraryEncoder:
+    """Texts to ids as the tokenizers library encodes them, each different piece encoded once.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    A text is cut at its blanks.  Where a piece is empty or white space stands
+    at its edge, the blanks were not alone; that text is cut again, at lone
+    blanks only: between characters other than white space a tokenizer that
+    splits before white space gives the same ids for the pieces, each with
+    its blank, as for the whole.  Pieces after a blank are keyed by what
+    follows the blank, a text's first piece by a tuple.
+    """
 
-    def encode(parts: list[str]) -> Iterator[bytes]:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.after_blank = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.flat, self.crowded = np.array([], dtype="<u4"), np.array([], dtype=bool)
+        self.starts, self.sizes = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids and where each piece's begin."""
+        found = []
         for at in range(0, len(parts), 20_000):
-            for e in tokenizer.encode_batch_fast(parts[at:at + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4").tobytes()
+            found += [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(parts[at:at + 20_000], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        return np.concatenate([np.array([], dtype="<u4"), *found]), np.cumsum(sizes) - sizes
+
+    def encode_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for what follows a blank, if it holds no blank and no white space at its edges.
+
+        The pieces are encoded as one text, each after its blank: a token that
+        begins with a blank begins a piece.
+        """
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        begins = np.flatnonzero(self.after_blank[ids])
+        return (ids, begins) if len(begins) == len(parts) else self.encode([" " + p for p in parts])
+
+    def learn(self) -> None:
+        """Encodes the fresh pieces."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        for at in range(0, len(fresh), 50_000):
+            some = fresh[at:at + 50_000]
+            edges = [p[0] if p.__class__ is tuple else p for p in some]
+            crowded = np.array([not p or p[0].isspace() or p[-1].isspace() for p in edges])
+            joined = ~crowded & np.array([p.__class__ is str and " " not in p for p in some])
+            starts, sizes = np.empty(len(some), dtype=np.int64), np.empty(len(some), dtype=np.int64)
+            alone = [p[0] if p.__class__ is tuple else " " + p for p, j in zip(some, joined, strict=True) if not j]
+            for which, (ids, begins) in (
+                (joined, self.encode_joined([p for p, j in zip(some, joined, strict=True) if j])), (~joined, self.encode(alone))):
+                starts[which] = begins + len(self.flat)
+                sizes[which] = np.diff(np.append(begins, len(ids)))
+                self.flat = np.concatenate([self.flat, ids])
+            self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+            self.crowded = np.concatenate([self.crowded, crowded])
+
+    def number(self, parts: list[str]) -> list[int]:
+        return [self.numbers[(parts[0],)], *map(self.numbers.__getitem__, parts[1:])]
+
+    def documents(self, texts: list[str]) -> list[np.ndarray]:
+        codes = [self.number(t.split(" ")) if t else [] for t in texts]
+        self.learn()
+        which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
+        ends = np.cumsum([len(c) for c in codes])
+        crowded = np.unique(np.searchsorted(ends, np.flatnonzero(self.crowded[which]), side="right"))
+        if len(crowded):
+            for k in crowded.tolist():
+                codes[k] = self.number(LONE_BLANK.split(texts[k]))
+            self.learn()
+            which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
+            ends = np.cumsum([len(c) for c in codes])
+        n = self.sizes[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.starts[which] - total[:-1], n) + np.arange(total[-1])]
+        if len(self.numbers) > CACHE_PIECES:
+            self.forget()
+        return np.split(ids, total[ends[:-1]])
+
 
-    return ChunkCache(encode)
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def library_ids(tokenizer_path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Texts to arrays of ids, as the tokenizers library encodes the whole texts."""
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        found = library_cache(tokenizer_path).look_up([pieces(t) for t in texts])
-        return [np.frombuffer(b"".join(parts), dtype="<u4") for parts in found]
-
-    return encode
+    return lambda texts: worker_encoder(tokenizer_path).documents(texts)
 
 
 def write(docs: DataFrame, path: str, encode: Callable[[list[str]], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> None:
