@@ -122,7 +122,7 @@ CREATIVE_COMMONS = (
 SIGNATURES = (
     Rule("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
     Rule("mit", "substantial", "shall be included in all copies or substantial portions of the software", 0.9),
-    Rule("isc", "granted", "permission to use copy modify and or distribute this software for any purpose", 0.9),
+    Rule("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 0.9),
     Rule("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 0.9),
     Rule("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software", 0.9),
     Rule("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software", 0.9),
@@ -130,9 +130,9 @@ SIGNATURES = (
     Rule("apache-2", "compliance", "you may not use this file except in compliance with the license", 0.8, True),
     Rule("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 0.95, True),
     Rule("gpl", "gnu", "you should have received a copy of the gnu general public license", 0.9, True),
-    Rule("gpl", "gpl", "gpl(?:v[123])?(?: licensed)?", 0.6),
-    Rule("lgpl", "lgpl", "lgpl(?:v[23])?(?: licensed)?", 0.6),
-    Rule("agpl", "agpl", "agpl(?:v3)?(?: licensed)?", 0.6),
+    Rule("gpl", "gpl", "gpl(?: licensed)?", 0.6),
+    Rule("lgpl", "lgpl", "lgpl(?: licensed)?", 0.6),
+    Rule("agpl", "agpl", "agpl(?: licensed)?", 0.6),
     Rule("mpl-2", "mozilla", "mozilla org mpl 2 0", 0.95),
     Rule("bsl-1", "boost", "www boost org license 1 0 txt", 0.95, True),
     Rule("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 0.95),
@@ -141,9 +141,9 @@ SIGNATURES = (
     Rule("public-domain", "domain", "(?:is|are) in the public domain", 0.8),
     Rule("proprietary", "rights", "all rights reserved", 0.6),
     Rule("proprietary", "confidential", "proprietary and confidential", 0.8),
-    Rule("no-derivatives", "permission", "no part of this (?:publication|work|document) may be reproduced", 0.8),
+    Rule("no-derivatives", "reproduced", "no part of this (?:publication|work|document) may be reproduced", 0.8),
     Rule("", "mit", "not (?:licensed )?under the mit licen[cs]e", 0.0, True),
-    Rule("", "compatible", "(?:in)?compatible with (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e)", 0.0),
+    Rule("", "compatible", "compatible with (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e)", 0.0),
     Rule("", "unlike", "unlike (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e|apache licen[cs]e)", 0.0),
 )
 

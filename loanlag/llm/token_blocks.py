@@ -220,20 +220,20 @@ class LibraryEncoder:
         codes = [self.number(t.split(" ")) if t else [] for t in texts]
         self.learn()
         which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
-        ends = np.cumsum([len(c) for c in codes])
+        ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         crowded = np.unique(np.searchsorted(ends, np.flatnonzero(self.crowded[which]), side="right"))
         if len(crowded):
             for k in crowded.tolist():
                 codes[k] = self.number(LONE_BLANK.split(texts[k]))
             self.learn()
             which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
-            ends = np.cumsum([len(c) for c in codes])
+            ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         n = self.sizes[which]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[which] - total[:-1], n) + np.arange(total[-1])]
         if len(self.numbers) > CACHE_PIECES:
             self.forget()
-        return np.split(ids, total[ends[:-1]])
+        return np.split(ids, total[ends[:-1]])[:len(texts)]
 
 
 @lru_cache(maxsize=2)
