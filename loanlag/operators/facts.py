@@ -34,13 +34,12 @@ from ..functions.status import status_columns
 from ..presets import THIRTY_DAY_PAYMENT_TYPES
 from ..sources.readers import LoanTables
 from .eligibility import due_payments, eligible_listings, open_loans
-from .joins import MAX_HOT_KEYS, hot_keys, left_join_nullable, salted_join
+from .joins import hot_keys, left_join_nullable, salted_join
 
 FACT_KEYS = ("dtpayment", "multi_payment_number")
-# A loan with more due payments than this is salted in per-payment joins:
-# about one shuffle partition's worth of rows.
+# A loan with more due payments than this is dealt, in per-payment joins, into
+# buckets of about so many: one shuffle partition's worth of rows each.
 HOT_LOAN_ROWS = 1_000_000
-SALT_BUCKETS = 64
 
 
 def payment_status(payments: DataFrame) -> DataFrame:
@@ -115,7 +114,6 @@ def payment_facts(
     created_between: tuple[dt.date | None, dt.date | None] = (None, None),
     with_country: bool = True,
     hot_loan_rows: int = HOT_LOAN_ROWS,
-    salt_buckets: int = SALT_BUCKETS,
 ) -> DataFrame:
     """Payment facts of the cohort analysis (W7).
 
@@ -127,7 +125,7 @@ def payment_facts(
     pre-sums the payments per loan before the join (one row per loan);
     ``keys`` naming ``dtpayment``/``multi_payment_number`` keep one row per
     payment, joined with hot loans (more than ``hot_loan_rows`` due payments)
-    spread over ``salt_buckets`` tasks, unless ``created_between`` narrows the
+    spread over tasks of about that many, unless ``created_between`` narrows the
     loans: then payments are pre-summed per loan and key, so the runtime
     bloom filter from the selective loan side prunes them in the scan.
     Summing any form gives the same totals.
@@ -150,21 +148,23 @@ def payment_facts(
     due = due_payments(tables.multi_payments, as_of)
     country = ["country"] if with_country else []
     spread = ["id", "dtpayment", "multi_payment_number"]
+    weights = loan_weights(loans, users, listings)
     if keys is None:
-        borrowers = loan_borrowers(loans, users, listings)
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
-        facts = salted_join(payment_status(due), borrowers, "loan_id", hot, salt_buckets, spread)
+        # One row per loan enters the salted join; a loan's listings fan out
+        # after it, so the fan-out is never shuffled and never replicated.
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, weights)
+        facts = salted_join(payment_status(due), weights, "loan_id", hot, spread)
+        facts = facts.withColumn("_listing", F.explode(F.sequence(F.lit(1).cast("long"), F.col("listings"))))
         return facts.select("loan_id", *country, "created_day", "dtpayment",
                             "multi_payment_number", "ontime", "late", "never")
     keys = list(keys)
     bad = [k for k in keys if k not in FACT_KEYS]
     if bad:
         raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
-    weights = loan_weights(loans, users, listings)
     if keys and lo is None and hi is None:
         rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, MAX_HOT_KEYS)
-        joined = salted_join(rows, weights, "loan_id", hot, salt_buckets, spread)
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, weights)
+        joined = salted_join(rows, weights, "loan_id", hot, spread)
     else:
         # Per-loan (and key) sums first.  With a creation span the loan side
         # is selective, and this shape lets Spark's runtime bloom filter from

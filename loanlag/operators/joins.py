@@ -17,83 +17,94 @@ rows hashed together again; ``key * 0`` is 0 for every key that can match
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NULL_SPREAD = 1024
 _SALT = "_null_spread"
 
 
-def _salted(df: DataFrame, key: str, buckets: int, spread_on: list[str] | None) -> DataFrame:
-    spread = F.pmod(F.xxhash64(*(spread_on or df.columns)), F.lit(buckets))
-    return df.withColumn(_SALT, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("int"))
+def _salted(df: DataFrame, key: str, spread_on: list[str] | None) -> DataFrame:
+    # The whole hash, not a bucket of it: nothing is replicated for the spread,
+    # so null rows may reach every shuffle partition there is.
+    spread = F.xxhash64(*(spread_on or df.columns))
+    return df.withColumn(_SALT, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("long"))
 
 
 def _zero(key: str):
-    return (F.col(key) * 0).cast("int").alias("_rs")
+    return (F.col(key) * 0).cast("long").alias("_rs")
 
 
 def anti_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       buckets: int = NULL_SPREAD, spread_on: list[str] | None = None) -> DataFrame:
+                       spread_on: list[str] | None = None) -> DataFrame:
     """Rows of ``left`` whose ``left_key`` matches no ``right_key``.
 
     A null ``left_key`` never matches, so such rows are always kept.  Null
     rows are spread by a hash of ``spread_on`` (default: all columns; a
     unique column is enough and cheaper).
     """
-    l = _salted(left, left_key, buckets, spread_on)
+    l = _salted(left, left_key, spread_on)
     r = right.select(F.col(right_key).alias("_rk"), _zero(right_key))
     cond = (l[left_key] == r["_rk"]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left_anti").drop(_SALT)
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       buckets: int = NULL_SPREAD, spread_on: list[str] | None = None) -> DataFrame:
+                       spread_on: list[str] | None = None) -> DataFrame:
     """``left`` left-outer-joined to ``right`` on ``left_key == right_key``.
 
     The right key column is dropped from the output; ``spread_on`` as in
     ``anti_join_nullable``.
     """
-    l = _salted(left, left_key, buckets, spread_on)
+    l = _salted(left, left_key, spread_on)
     r = right.withColumn("_rs", _zero(right_key))
     cond = (l[left_key] == r[right_key]) & (l[_SALT] == r["_rs"])
     return l.join(r, cond, "left").drop(_SALT, "_rs").drop(r[right_key])
 
 
-# Hot keys: at most this many are salted, the largest first.  The list is
-# broadcast, so its size is bounded by this constant, not by the data; keys
-# left off it are still joined exactly, only unsalted.
-MAX_HOT_KEYS = 10_000
+# The list of hot keys is broadcast.  It has fewer keys than this, whatever the
+# data: a key is on it only if it holds more than this share of the rows of all
+# keys above ``target_rows``.
+HOT_KEY_BOUND = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """Values of ``key`` holding more than ``min_rows`` rows of ``df``
-    (the ``max_keys`` largest), as a one-column DataFrame.
+def hot_keys(df: DataFrame, key: str, target_rows: int, among: DataFrame | None = None) -> DataFrame:
+    """Values of ``key`` holding more than ``target_rows`` rows of ``df``, with
+    the number of ``_buckets`` to deal each into: about ``target_rows`` rows a
+    bucket.
 
-    The count per key is a partial aggregate before its shuffle, so even a
-    key with a third of all rows costs one row per map task.
+    ``among``: only keys of this table (column ``key``) count.  Fewer than
+    ``HOT_KEY_BOUND`` keys are returned by arithmetic, without a sort or a
+    limit: beyond that number of keys above ``target_rows``, the target rises
+    to the ``HOT_KEY_BOUND``-th part of the rows they hold together, so a key
+    left off the list is smaller than that part.  The count per key is a
+    partial aggregate before its shuffle, so even a key with a third of all
+    rows costs one row per map task.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return (counts.where(F.col("_rows") > int(min_rows))
-            .orderBy(F.col("_rows").desc(), F.col(key)).limit(int(max_keys)).select(key))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > int(target_rows))
+    if among is not None:
+        counts = counts.join(among.select(key), key, "left_semi")
+    together = F.sum("_rows").over(Window.partitionBy())
+    target = F.greatest(F.lit(int(target_rows)), F.floor(together / HOT_KEY_BOUND))
+    hot = counts.withColumn("_target", target).where(F.col("_rows") > F.col("_target"))
+    return hot.select(key, F.ceil(F.col("_rows") / F.col("_target")).cast("int").alias("_buckets"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, buckets: int,
-                spread: list[str]) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
     """Inner equi-join of ``big`` and ``small`` on ``key`` that splits hot keys.
 
-    Rows of ``big`` with a hot key are spread over ``buckets`` salt values by
-    a deterministic hash of ``spread`` columns; the matching ``small`` rows
-    are replicated once per salt value.  Both sides are then shuffled on
-    (key, salt), so a hot key lands in ``buckets`` tasks instead of one, and
-    each big row still meets every small row of its key exactly once.
+    ``hot`` gives each hot key its ``_buckets`` (``hot_keys``).  Rows of
+    ``big`` with a hot key are spread over that many salt values by a
+    deterministic hash of ``spread`` columns; the matching ``small`` rows are
+    replicated once per salt value.  Both sides are then shuffled on (key,
+    salt), so a hot key lands in many tasks instead of one, and each big row
+    still meets every small row of its key exactly once.
     """
-    flag = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    flag = F.broadcast(hot.select(key, "_buckets"))
+    is_hot = F.col("_buckets").isNotNull()
     b = (big.join(flag, key, "left")
-         .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
+         .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.col("_buckets")))
                      .otherwise(F.lit(0)).cast("int"))
-         .drop("_hot"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    s = small.join(flag, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+         .drop("_buckets"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.col("_buckets") - 1)).otherwise(F.array(F.lit(0)))
+    s = small.join(flag, key, "left").withColumn("_salt", F.explode(copies)).drop("_buckets")
     return b.join(s, [key, "_salt"]).drop("_salt")

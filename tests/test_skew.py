@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlag import operators as op
+from loanlag.operators.joins import hot_keys, salted_join
 from loanlag.plans import plan_text
 from loanlag.plans.registry import AS_OF, GROUP
 from tests.test_scale_plans import AT_SCALE, conf
@@ -35,10 +36,10 @@ def _series(t):
     return {
         "due_by_group": op.group_late_ratio(op.payment_facts(t, AS_OF), GROUP, True, "dtpayment", 30, AS_OF),
         "due_detail_salted": op.group_late_ratio(
-            op.payment_facts(t, AS_OF, hot_loan_rows=1000, salt_buckets=8),
+            op.payment_facts(t, AS_OF, hot_loan_rows=1000),
             GROUP, True, "dtpayment", 30, AS_OF),
         "due_salted": op.group_late_ratio(
-            op.payment_facts(t, AS_OF, keys=["dtpayment"], hot_loan_rows=1000, salt_buckets=8),
+            op.payment_facts(t, AS_OF, keys=["dtpayment"], hot_loan_rows=1000),
             GROUP, True, "dtpayment", 30, AS_OF),
         "created": op.late_ratio(op.payment_facts(t, AS_OF, keys=[], with_country=False),
                                  "created_day", 30, AS_OF),
@@ -67,8 +68,7 @@ def test_hot_loan_is_spread_over_tasks(spark, skewed):
     hot = (skewed.multi_payments.groupBy("loan_id").count()
            .orderBy(F.col("count").desc()).first()["loan_id"])
     with conf(spark, {**AT_SCALE, "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
-        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], hot_loan_rows=1000,
-                                 salt_buckets=8)
+        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], hot_loan_rows=1000)
         lines = plan_text(facts, "simple")
         tasks = (facts.where(F.col("loan_id") == hot)
                  .select(F.spark_partition_id().alias("p")).distinct().count())
@@ -79,9 +79,37 @@ def test_hot_loan_is_spread_over_tasks(spark, skewed):
 def test_hot_list_is_computed_once(spark, skewed):
     with conf(spark, AT_SCALE):
         facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], with_country=False,
-                                 hot_loan_rows=1000, salt_buckets=8)
+                                 hot_loan_rows=1000)
         assert len(facts.collect()) > 0  # runs this DataFrame's own adaptive plan
         final = plan_text(facts, "simple").split("Initial Plan")[0]
     # the broadcast hot-loan list feeds both join sides from one computation
-    assert final.count("TakeOrderedAndProject") == 1
-    assert re.search(r"ReusedExchange \[loan_id#\d+L, _hot#\d+\]", final)
+    assert len(re.findall(r"Window \[sum\(_rows", final)) == 1
+    assert re.search(r"ReusedExchange \[loan_id#\d+L, _buckets#\d+\]", final)
+
+
+def test_every_hot_key_is_split_however_many(spark):
+    rows = spark.range(36_000).select((F.col("id") % 12_000).alias("k"), F.col("id").alias("i"))
+    hot = hot_keys(rows, "k", 2)
+    assert hot.count() == 12_000 and hot.where("_buckets <> 2").isEmpty()
+    keys = spark.range(12_000).select(F.col("id").alias("k"))
+    assert salted_join(rows, keys, "k", hot, ["i"]).count() == 36_000
+
+
+def test_buckets_follow_the_key_and_stay_under_the_target(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.lit(-2) - F.col("id") % 2)
+                                      .otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    found = {r.k: r["_buckets"] for r in hot_keys(rows, "k", 1000).collect()}
+    assert found == {-1: 20, -2: 10, -3: 10}
+    salted = rows.where("k = -1").groupBy(F.pmod(F.xxhash64("i"), F.lit(20))).count()
+    assert salted.agg(F.max("count")).first()[0] < 1.2 * 1000
+    among = spark.createDataFrame([(-3,), (5,)], "k long")
+    assert {r.k for r in hot_keys(rows, "k", 1000, among).collect()} == {-3}
+
+
+def test_hot_list_is_bounded_by_arithmetic(spark, monkeypatch):
+    from loanlag.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_KEY_BOUND", 10)
+    rows = spark.range(3_000).select((F.col("id") % 100).alias("k")).unionByName(spark.range(2_000).select(F.lit(7).cast("long").alias("k")))
+    found = {r.k: r["_buckets"] for r in hot_keys(rows, "k", 5).collect()}
+    assert len(found) < 10 and found[7] == 5
