@@ -24,6 +24,8 @@ SAMPLE_PER_LANGUAGE = 2000
 KNOWN_TRIGRAMS = 40_000
 #: Unit vectors are summed as integers of this scale, so that the sums do not depend on the order.
 SCALE = 1 << 20
+#: With more languages than this their limits are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 BLANK = 32
 
@@ -100,7 +102,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     rows = rows.withColumn("hash", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("hash")
     limits = rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("hash").alias("limit"))
-    sample = rows.join(limits, "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+    # One row a language: sent to every task, so that the texts are not shuffled by language.
+    few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    sample = rows.join(F.broadcast(limits) if few else limits, "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, totals = Space(dimensions), {}
