@@ -253,7 +253,8 @@ def shared_runs(members: DataFrame, length: int, group: int = GROUP) -> DataFram
 def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     """(doc_id, text_hash, spans): the byte ranges of the windows of (doc_id, text_hash, text) that occur more than once."""
     all_strips = materialize(strips(docs, length))
-    several = all_strips.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written, so that the join below stands between two plain shuffles, of which Spark splits the large partitions.
+    several = materialize(all_strips.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     live = materialize(all_strips.join(several, "key"))
     first = F.min(F.struct("doc_id", "text_hash", "anchor", "lo", "hi")).alias("at")
     classes = materialize(live.groupBy("key", "strip").agg(F.count("*").alias("n"), first))
