@@ -1,7 +1,7 @@
 """Command-line jobs, one per analysis, for ``spark-submit`` or ``python -m``.
 
     python -m loanlag cohort    --input DIR --as-of TS --out DIR [--day created_day|dtpayment]
-    python -m loanlag monthly   --input DIR --as-of TS --out DIR [--start 2014-09-01 --periods 6]
+    python -m loanlag monthly   --input DIR --as-of TS --out DIR [--start 2014-09-01 --periods 6 --day ...]
     python -m loanlag factor    --input DIR --out DIR [--factor country --exclude developed]
     python -m loanlag behaviour --input DIR --out DIR [--positive repaid|good_behaviour]
 
@@ -21,10 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from . import presets
+from .functions.values import parse_values
 from .operators import by_late_pct, in_cohort_order, in_day_order
 from .plans import behaviour_report, cohort_late_ratios, factor_report, monthly_report
-from .session import configure
-from .sources import LoanTables, jdbc_options, read_jdbc_table, read_jdbc_table_split, read_tables
+from .session import cluster_conf, configure
+from .sources import LoanTables, read_jdbc_table_split, read_tables
 from .sources.schemas import SCHEMAS
 
 GROUPS = {
@@ -59,19 +60,22 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> LoanTables:
         props = _read_properties(args.jdbc_properties) if args.jdbc_properties else {}
         creds = dict(user=props.get("user"), password=props.get("password"),
                      driver=props.get("driver"))
-        if args.jdbc_partitions > 1:
-            return LoanTables(**{
-                name: read_jdbc_table_split(spark, name, args.jdbc_url, args.jdbc_partitions,
-                                            **creds)
-                for name in SCHEMAS})
+        parts = args.jdbc_partitions or 2 * spark.sparkContext.defaultParallelism
         return LoanTables(**{
-            name: read_jdbc_table(spark, name, jdbc_options(args.jdbc_url, name, **creds))
+            name: read_jdbc_table_split(spark, name, args.jdbc_url, parts, **creds)
             for name in SCHEMAS})
     options = dict(opt.split("=", 1) for opt in args.read_option)
     return read_tables(spark, {name: os.path.join(args.input, name) for name in SCHEMAS},
                        args.format, options)
 
 
+def session_conf(args: argparse.Namespace) -> dict[str, str]:
+    """``cluster_conf`` for the size and cores on the command line; nothing without them."""
+    if (args.input_gb is None) != (args.cores is None):
+        raise SystemExit("--input-gb and --cores go together")
+    return cluster_conf(int(args.input_gb * 2**30), args.cores) if args.cores else {}
+
+
 def _write(df: DataFrame, out: str, name: str) -> None:
     df.write.mode("overwrite").parquet(os.path.join(out, name))
 
@@ -83,7 +87,9 @@ def run(spark: SparkSession, argv: Sequence[str]) -> dict[str, DataFrame]:
         raise SystemExit("--as-of is required for cohort and monthly jobs")
     if not args.input and not args.jdbc_url:
         raise SystemExit("give --input or --jdbc-url")
-    configure(spark)
+    if args.jdbc_partitions is not None and args.jdbc_partitions < 2:
+        raise SystemExit("--jdbc-partitions must be at least 2: one connection would read a table in one task")
+    configure(spark, session_conf(args))
     tables = load_tables(spark, args)
     listing_opts = dict(payment_types=None if args.all_payment_types else tuple(args.payment_types),
                         exclude_refinanced=not args.keep_refinanced,
@@ -94,17 +100,24 @@ def run(spark: SparkSession, argv: Sequence[str]) -> dict[str, DataFrame]:
                                     checkpoint=args.checkpoint, cache=not args.checkpoint,
                                     **listing_opts)
         out = {"total": in_day_order(series.total), "by_group": in_day_order(series.by_group)}
+        shared = series.daily
     elif args.job == "monthly":
         out = {"monthly": in_cohort_order(monthly_report(tables, args.as_of, args.start,
-                                                         args.periods, **listing_opts))}
+                                                         args.periods, day=args.day, **listing_opts))}
+        shared = None
     elif args.job == "factor":
-        report = factor_report(tables.credit_reports, args.factor, _values(args.exclude))
-        out = {"payback": by_late_pct(report.table), "totals": report.totals}
+        exclude = _values(args.exclude)
+        if exclude is not None:
+            exclude = parse_values(exclude, SCHEMAS["credit_reports"][args.factor].dataType)
+        report = factor_report(tables.credit_reports, args.factor, exclude, cache=True)
+        out, shared = {"payback": by_late_pct(report.table), "totals": report.totals}, report.grouped
     else:
-        report = behaviour_report(tables.users, tables.credit_reports, args.positive)
-        out = {"payback": by_late_pct(report.table), "totals": report.totals}
+        report = behaviour_report(tables.users, tables.credit_reports, args.positive, cache=True)
+        out, shared = {"payback": by_late_pct(report.table), "totals": report.totals}, report.grouped
     for name, df in out.items():
         _write(df, args.out, name)
+    if shared is not None:
+        shared.unpersist()
     return out
 
 
@@ -117,8 +130,12 @@ def parser() -> argparse.ArgumentParser:
                    help="reader option for --input, e.g. header=true (repeatable)")
     p.add_argument("--jdbc-url", help="read the tables over JDBC instead of --input")
     p.add_argument("--jdbc-properties", help="file with user=, password=, driver= lines")
-    p.add_argument("--jdbc-partitions", type=int, default=1,
-                   help="parallel range reads per table, split on its id column")
+    p.add_argument("--jdbc-partitions", type=int, default=None,
+                   help="parallel range reads per table, split on its id column, 2 or more "
+                        "(default: twice the session's cores)")
+    p.add_argument("--input-gb", type=float, default=None,
+                   help="size of the input; with --cores, sizes shuffles and broadcasts for it")
+    p.add_argument("--cores", type=int, default=None, help="cores of the cluster")
     p.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     p.add_argument("--as-of", default=None, help="instant the payments are due by")
     p.add_argument("--day", default=presets.DEFAULT_DAY_KEY, choices=presets.DAY_KEYS)

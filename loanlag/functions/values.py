@@ -15,18 +15,42 @@ from pyspark.sql import types as T
 
 
 def _same_kind(values: Iterable, dtype: T.DataType) -> list:
-    """Keep the values Python's ``==`` could match against ``dtype``."""
+    """The values Python's ``==`` could match against ``dtype``, as that type.
+
+    ``True == 1`` and ``False == 0`` hold both ways: a number column meets a
+    boolean as 1 or 0, a boolean column meets 1 and 0 (and no other number).
+    """
     out = []
     for v in values:
         if isinstance(dtype, T.StringType) and isinstance(v, str):
             out.append(v)
-        elif isinstance(dtype, T.BooleanType) and isinstance(v, bool):
-            out.append(v)
-        elif isinstance(dtype, T.NumericType) and isinstance(v, (int, float)) and not isinstance(v, str):
-            out.append(v)
+        elif isinstance(dtype, T.BooleanType) and isinstance(v, (bool, int, float)) and v in (0, 1):
+            out.append(bool(v))
+        elif isinstance(dtype, T.NumericType) and isinstance(v, (bool, int, float)):
+            out.append(int(v) if isinstance(v, bool) else v)
     return list(dict.fromkeys(out))
 
 
+def parse_values(texts: Iterable[str], dtype: T.DataType) -> list:
+    """Texts, as from a command line, as values of ``dtype``; one that does not parse raises."""
+    def parse(text: str):
+        if isinstance(dtype, T.BooleanType):
+            return {"true": True, "false": False}[text.strip().lower()]
+        if isinstance(dtype, T.IntegralType):
+            return int(text)
+        if isinstance(dtype, T.NumericType):
+            return float(text)
+        return text
+
+    out = []
+    for text in texts:
+        try:
+            out.append(parse(text))
+        except (KeyError, ValueError):
+            raise ValueError(f"{text!r} is not a value of type {dtype.simpleString()}") from None
+    return out
+
+
 def in_values(col: Column, values: Iterable, dtype: T.DataType | None = None) -> Column:
     """True when ``col`` equals one of ``values``, else False (never null).
 

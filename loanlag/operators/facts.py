@@ -38,7 +38,10 @@ from .joins import hot_keys, left_join_nullable, salted_join
 
 FACT_KEYS = ("dtpayment", "multi_payment_number")
 # A loan with more due payments than this is dealt, in per-payment joins, into
-# buckets of about so many: one shuffle partition's worth of rows each.
+# buckets of about so many: one shuffle partition's worth of rows each.  Loans
+# that no listing makes eligible are counted too: leaving them out would take
+# the loan side's joins a second time (20 exchanges for 10), and a loan too
+# many on the list adds nothing but its replicas of no row.
 HOT_LOAN_ROWS = 1_000_000
 
 
@@ -112,6 +115,7 @@ def payment_facts(
     exclude_refinanced: bool = True,
     exclude_refinancing: bool = False,
     created_between: tuple[dt.date | None, dt.date | None] = (None, None),
+    due_between: tuple[dt.date | None, dt.date | None] = (None, None),
     with_country: bool = True,
     hot_loan_rows: int = HOT_LOAN_ROWS,
 ) -> DataFrame:
@@ -132,6 +136,7 @@ def payment_facts(
 
     ``created_between=(lo, hi)`` keeps loans created on ``lo <= day < hi``
     (either bound may be None); it is applied to the loans before any join.
+    ``due_between`` does the same for the payments' due day, in their scan.
     ``with_country=False`` drops the ``country`` column and the user join
     behind it (see ``loan_borrowers``).
     """
@@ -146,13 +151,18 @@ def payment_facts(
                                  exclude_refinancing)
     users = tables.users if with_country else None
     due = due_payments(tables.multi_payments, as_of)
+    due_lo, due_hi = due_between
+    if due_lo is not None:
+        due = due.where(F.col("dtpayment") >= F.lit(due_lo))
+    if due_hi is not None:
+        due = due.where(F.col("dtpayment") < F.lit(due_hi))
     country = ["country"] if with_country else []
     spread = ["id", "dtpayment", "multi_payment_number"]
     weights = loan_weights(loans, users, listings)
     if keys is None:
         # One row per loan enters the salted join; a loan's listings fan out
         # after it, so the fan-out is never shuffled and never replicated.
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, weights)
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows)
         facts = salted_join(payment_status(due), weights, "loan_id", hot, spread)
         facts = facts.withColumn("_listing", F.explode(F.sequence(F.lit(1).cast("long"), F.col("listings"))))
         return facts.select("loan_id", *country, "created_day", "dtpayment",
@@ -163,7 +173,7 @@ def payment_facts(
         raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
     if keys and lo is None and hi is None:
         rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, weights)
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows)
         joined = salted_join(rows, weights, "loan_id", hot, spread)
     else:
         # Per-loan (and key) sums first.  With a creation span the loan side

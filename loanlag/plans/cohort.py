@@ -58,8 +58,8 @@ def cohort_late_ratios(
     """
     if day not in DAY_KEYS:
         raise ValueError(f"day must be one of {DAY_KEYS}, not {day!r}")
-    # Payments are summed per loan (creation-day key) or per (loan, due day)
-    # before the join: a loan's rows never exceed its number of due days.
+    # Payments are summed per loan before the join (creation-day key), or joined
+    # row by row with hot loans salted (due-day key).
     keys = [] if day == "created_day" else ["dtpayment"]
     facts = payment_facts(tables, as_of, keys=keys, payment_types=payment_types,
                           exclude_refinanced=exclude_refinanced,
@@ -90,16 +90,28 @@ def monthly_report(
     payment_types: Iterable[int] | None = THIRTY_DAY_PAYMENT_TYPES,
     exclude_refinanced: bool = True,
     exclude_refinancing: bool = False,
+    day: str = DEFAULT_DAY_KEY,
 ) -> DataFrame:
-    """Monthly creation cohorts x instalment number for loans created in the
-    ``periods`` months from ``start``.  The creation span is applied to the
-    loans before any join."""
+    """Monthly cohorts x instalment number over the ``periods`` months from
+    ``start``: by the loan's creation day (the span is applied to the loans
+    before any join) or, with ``day='dtpayment'``, by the payment's due day
+    (the span is applied in the payments scan)."""
+    if day not in DAY_KEYS:
+        raise ValueError(f"day must be one of {DAY_KEYS}, not {day!r}")
     bounds = period_bounds(as_date(start), int(periods))
+    span = (bounds[0], bounds[-1])
+    if day == "dtpayment":
+        facts = payment_facts(tables, as_of, keys=["dtpayment", "multi_payment_number"],
+                              payment_types=payment_types,
+                              exclude_refinanced=exclude_refinanced,
+                              exclude_refinancing=exclude_refinancing,
+                              due_between=span, with_country=False)
+        return monthly_instalment_cohorts(facts, bounds[0], periods, "dtpayment")
     # Summed per (loan, instalment) first: a loan's rows are bounded by its
     # number of instalments, however many payments it holds.
     facts = payment_facts(tables, as_of, keys=["multi_payment_number"],
                           payment_types=payment_types,
                           exclude_refinanced=exclude_refinanced,
                           exclude_refinancing=exclude_refinancing,
-                          created_between=(bounds[0], bounds[-1]), with_country=False)
+                          created_between=span, with_country=False)
     return monthly_instalment_cohorts(facts, bounds[0], periods, "created_day")

@@ -18,8 +18,8 @@ from ..operators import (all_payments_daily, all_payments_late_ratio, behaviour_
                          daily_counts, due_payments, eligible_listings, exclude_values,
                          factor_payback, group_late_ratio, late_ratio, loan_borrowers,
                          open_loans, payback_totals, payment_facts, payment_status)
-from ..presets import FACTORS
-from ..sources.fixture import load_fixture
+from ..presets import DEFAULT_GROUP, DEVELOPED_COUNTRIES, FACTORS
+from ..sources.fixture import NATION_CODES, load_fixture
 from .cohort import cohort_late_ratios, monthly_report
 from .payback import behaviour_report, factor_report
 
@@ -79,6 +79,8 @@ def _build_queries() -> dict[str, Query]:
     reg("late_ratio_7d")(lambda t: late_ratio(_facts(t, [], with_country=False), "created_day", 7, AS_OF))
     reg("late_ratio_by_group_created")(
         lambda t: group_late_ratio(_facts(t, []), GROUP, True, "created_day", WINDOW, AS_OF))
+    reg("late_ratio_by_group_default")(
+        lambda t: group_late_ratio(_facts(t, []), DEFAULT_GROUP, True, "created_day", WINDOW, AS_OF))
     reg("late_ratio_by_group_due")(
         lambda t: group_late_ratio(_facts(t, ["dtpayment"]), GROUP, True, "dtpayment", WINDOW, AS_OF))
     reg("late_ratio_group_only")(
@@ -108,11 +110,22 @@ def _build_queries() -> dict[str, Query]:
     reg("monthly_instalment_cohorts_mid_month")(
         lambda t: monthly_report(t, AS_OF, MONTHLY_START_MID, MONTHLY_PERIODS))
 
-    # W14-W17
+    reg("monthly_instalment_cohorts_due")(
+        lambda t: monthly_report(t, AS_OF, MONTHLY_START, MONTHLY_PERIODS, day="dtpayment"))
+
+    # W14-W18
     for factor in FACTORS:
         reg(f"factor_payback_{factor}")(lambda t, f=factor: factor_payback(t.credit_reports, f))
     reg("factor_payback_country_excluding")(
         lambda t: exclude_values(factor_payback(t.credit_reports, "country"), GROUP, "country"))
+    reg("factor_payback_country_excluding_developed")(
+        lambda t: factor_report(t.credit_reports, "country", DEVELOPED_COUNTRIES).table)
+    reg("factor_payback_geo_demerit_excluding")(
+        lambda t: factor_report(t.credit_reports, "geo_demerit", (1, 2)).table)
+    reg("factor_payback_has_job_excluding")(
+        lambda t: factor_report(t.credit_reports, "has_job", (True,)).table)
+    reg("payback_totals_geo_demerit_excluding")(
+        lambda t: factor_report(t.credit_reports, "geo_demerit", (1, 2)).totals)
     reg("behaviour_payback")(lambda t: behaviour_payback(t.users, t.credit_reports))
     reg("behaviour_payback_good")(
         lambda t: behaviour_payback(t.users, t.credit_reports, "good_behaviour"))
@@ -129,11 +142,10 @@ def _build_queries() -> dict[str, Query]:
 
 _BINDINGS = """
 users AS (
-  SELECT c_custkey AS id,
-         CASE WHEN n_name = 'NATION_0' THEN NULL ELSE n_name END AS country,
+  SELECT CASE WHEN c_custkey % 17 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS id,
+         CASE n_name {codes} ELSE n_name END AS country,
          CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_acctbal < 0 END AS bad_behavior
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE c_custkey % 17 <> 0),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
 loans AS (
   SELECT o_custkey AS user_id, o_orderkey AS id, o_orderdate AS created_at,
          CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderstatus = 'P' END AS reimbursed
@@ -158,16 +170,15 @@ multi_payments AS (
   FROM lineitem),
 report_people AS (
   SELECT c_custkey AS k, n_name, c_mktsegment, c_acctbal
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE c_custkey % 7 <> 0),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
 report_rows AS (
   SELECT k AS id, * FROM report_people
   UNION ALL
   SELECT k + 1000000000 AS id, * FROM report_people WHERE k % 11 = 0),
 credit_reports AS (
   SELECT id,
-         CASE WHEN k % 29 = 0 THEN NULL ELSE k END AS user_id,
-         CASE WHEN n_name = 'NATION_0' THEN NULL ELSE n_name END AS country,
+         CASE WHEN k % 29 = 0 THEN NULL WHEN k % 7 = 0 THEN -k - 1000000000 ELSE k END AS user_id,
+         CASE n_name {codes} ELSE n_name END AS country,
          c_mktsegment AS credit_label,
          CASE WHEN k % 5 = 0 THEN NULL ELSE k % 2 = 0 END AS has_credit_check,
          CASE WHEN k % 7 = 0 THEN NULL ELSE k % 3 = 0 END AS has_job,
@@ -188,7 +199,8 @@ credit_reports AS (
          CASE WHEN k % 13 = 0 THEN NULL ELSE c_acctbal < 2000 END AS is_late,
          CASE WHEN k % 31 = 0 THEN NULL ELSE k % 4 END AS repaid_loans,
          k % 3 AS active_loans
-  FROM report_rows)"""
+  FROM report_rows)""".replace("{codes}", " ".join(
+    ["WHEN 'NATION_0' THEN NULL", *[f"WHEN '{n}' THEN '{v}'" for n, v in NATION_CODES.items()]]))
 
 _DUE = f"""
 due AS (SELECT * FROM multi_payments WHERE dtpayment < TIMESTAMP '{AS_OF}'),
@@ -231,7 +243,11 @@ facts AS (
          s.ontime, s.late, s.never
   FROM status s JOIN borrowers b ON s.loan_id = b.loan_id)"""
 
-_GROUP_SQL = ", ".join(f"'{v}'" for v in GROUP)
+def _sql_list(values) -> str:
+    return ", ".join(repr(v) for v in dict.fromkeys(values))
+
+
+_GROUP_SQL = _sql_list(GROUP)
 
 
 def _with(*parts: str) -> str:
@@ -269,20 +285,20 @@ FROM (SELECT {by_sel}day,
       FROM daily WHERE day IS NOT NULL AND day <= DATE '{AS_OF_DAY}') w"""
 
 
-def _facts_g(grouped: bool) -> str:
+def _facts_g(grouped: bool, group: str = _GROUP_SQL) -> str:
     if not grouped:
         return "\nfacts_g AS (SELECT * FROM facts)"
     return f"""
 facts_g AS (
-  SELECT *, COALESCE(country IN ({_GROUP_SQL}), false) AS in_group FROM facts)"""
+  SELECT *, COALESCE(country IN ({group}), false) AS in_group FROM facts)"""
 
 
 def _late_ratio_sql(day: str, days: int, by_group: bool = False, group_only: bool = False,
-                    eligible: str = _ELIGIBLE) -> str:
+                    eligible: str = _ELIGIBLE, group: str = _GROUP_SQL) -> str:
     by = "in_group" if by_group else ""
     where = "in_group" if group_only else "TRUE"
     cohort = (_DUE, eligible, _BORROWERS, _FACTS)
-    return _with(*cohort, _facts_g(by_group), _daily(day, where, by)) + _window(days, by)
+    return _with(*cohort, _facts_g(by_group, group), _daily(day, where, by)) + _window(days, by)
 
 
 def _daily_sql(day: str) -> str:
@@ -298,13 +314,13 @@ def _all_payments_sql(windowed: bool) -> str:
     return body + "SELECT *, CAST(ontime AS DOUBLE) * 100.0 / (ontime + late) AS ontime_pct FROM daily"
 
 
-def _monthly_sql(start: str) -> str:
+def _monthly_sql(start: str, day: str = "created_day") -> str:
     periods = f"""
 periods AS (
   SELECT CAST(DATE '{start}' + i * INTERVAL 1 MONTH AS DATE) AS period_start,
          CAST(DATE '{start}' + (i + 1) * INTERVAL 1 MONTH AS DATE) AS period_end
   FROM range({MONTHLY_PERIODS}) r(i))"""
-    return _with(*_COHORT, periods) + """
+    return _with(*_COHORT, periods) + f"""
 SELECT period_start AS cohort_start, multi_payment_number, ontime, late, never,
        ontime + late AS due_total,
        CAST(never AS DOUBLE) * 100.0 / (ontime + late) AS never_pct,
@@ -314,14 +330,14 @@ FROM (SELECT p.period_start, f.multi_payment_number,
              CAST(SUM(f.late) AS BIGINT) AS late,
              CAST(SUM(f.never) AS BIGINT) AS never
       FROM facts f JOIN periods p
-        ON f.created_day >= p.period_start AND f.created_day < p.period_end
+        ON f.{day} >= p.period_start AND f.{day} < p.period_end
       GROUP BY p.period_start, f.multi_payment_number) c"""
 
 
-def _payback_sql(factor: str, exclude: bool = False) -> str:
+def _payback_sql(factor: str, exclude: str = "") -> str:
     # Positive and negative counts separately, then matched back with a
     # full outer join where null matches null, as the analysis did.
-    tail = f"WHERE value IS NULL OR value NOT IN ({_GROUP_SQL})" if exclude else ""
+    tail = f"WHERE value IS NULL OR value NOT IN ({exclude})" if exclude else ""
     return _with() .rstrip(",\n") + f""",
 pos AS (SELECT {factor} AS value, COUNT(*) AS n FROM credit_reports
         WHERE repaid_loans > 0 GROUP BY {factor}),
@@ -356,8 +372,8 @@ FROM (SELECT bad_behavior,
 WHERE positive + negative > 0"""
 
 
-def _totals_sql(exclude: bool) -> str:
-    keep = f"(country IS NULL OR country NOT IN ({_GROUP_SQL}))" if exclude else "TRUE"
+def _totals_sql(exclude: str = "", factor: str = "country") -> str:
+    keep = f"({factor} IS NULL OR {factor} NOT IN ({exclude}))" if exclude else "TRUE"
     return _with().rstrip(",\n") + f"""
 SELECT total_late, total_not_late,
        CASE WHEN total_late + total_not_late = 0 THEN NULL
@@ -405,6 +421,8 @@ WHERE payment_type_id IN (4, 5, 6)
     s["late_ratio_due"] = _late_ratio_sql("dtpayment", WINDOW)
     s["late_ratio_7d"] = _late_ratio_sql("created_day", 7)
     s["late_ratio_by_group_created"] = _late_ratio_sql("created_day", WINDOW, by_group=True)
+    s["late_ratio_by_group_default"] = _late_ratio_sql("created_day", WINDOW, by_group=True,
+                                                       group=_sql_list(DEFAULT_GROUP))
     s["late_ratio_by_group_due"] = _late_ratio_sql("dtpayment", WINDOW, by_group=True)
     s["late_ratio_group_only"] = _late_ratio_sql("created_day", WINDOW, True, group_only=True)
     s["late_ratio_all_payments"] = _all_payments_sql(True)
@@ -417,13 +435,18 @@ WHERE payment_type_id IN (4, 5, 6)
     s["cohort_by_group_due"] = s["late_ratio_by_group_due"]
     s["monthly_instalment_cohorts"] = _monthly_sql(MONTHLY_START)
     s["monthly_instalment_cohorts_mid_month"] = _monthly_sql(MONTHLY_START_MID)
+    s["monthly_instalment_cohorts_due"] = _monthly_sql(MONTHLY_START, "dtpayment")
     for factor in FACTORS:
         s[f"factor_payback_{factor}"] = _payback_sql(factor)
-    s["factor_payback_country_excluding"] = _payback_sql("country", exclude=True)
+    s["factor_payback_country_excluding"] = _payback_sql("country", _GROUP_SQL)
+    s["factor_payback_country_excluding_developed"] = _payback_sql("country", _sql_list(DEVELOPED_COUNTRIES))
+    s["factor_payback_geo_demerit_excluding"] = _payback_sql("geo_demerit", "1, 2")
+    s["factor_payback_has_job_excluding"] = _payback_sql("has_job", "true")
     s["behaviour_payback"] = _behaviour_sql("repaid")
     s["behaviour_payback_good"] = _behaviour_sql("good_behaviour")
-    s["payback_totals"] = _totals_sql(False)
-    s["payback_totals_excluding"] = _totals_sql(True)
+    s["payback_totals"] = _totals_sql()
+    s["payback_totals_excluding"] = _totals_sql(_GROUP_SQL)
+    s["payback_totals_geo_demerit_excluding"] = _totals_sql("1, 2", "geo_demerit")
     s["behaviour_payback_totals"] = _behaviour_totals_sql()
     return s
 

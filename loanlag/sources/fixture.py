@@ -4,10 +4,10 @@ The test data has no loan tables, so they are derived, deterministically,
 from ``customer``, ``nation``, ``orders`` and ``lineitem`` (see FIXTURES.md).
 The derivations deliberately plant nulls, orphans and duplicate rows so the
 null rules and join fan-outs of the analysis are exercised.  The key-modulo
-conditions below are those plants (a user missing for every 17th customer so
-that some loans have no user, a report missing for every 7th, a null flag for
-every 13th...), not sampling: every source row is read, every loan and
-payment is kept, and the tables grow with the source tables.
+conditions below are those plants (every 17th customer's user has another id,
+so that its loans have no user, every 7th one's report names no user, a null
+flag for every 13th...): every source row is read and kept, and the tables
+grow with the source tables.
 
 Everything is a projection of one scan per source table; rows that appear
 twice (a second listing or credit report) come from ``explode`` of a one- or
@@ -48,14 +48,22 @@ def _customers_with_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
 
 
+# Nations bound to values of the preset groups, one to the string 'None'.
+NATION_CODES = {"NATION_20": "US", "NATION_21": "DE", "NATION_22": "MX", "NATION_23": "None",
+                "NATION_24": "United States"}
+
+
 def _country(name: Column) -> Column:
-    return _null_if(name == "NATION_0", name)
+    code = name
+    for nation, value in NATION_CODES.items():
+        code = F.when(name == nation, value).otherwise(code)
+    return _null_if(name == "NATION_0", code)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _customers_with_nation(spark, sf_dir).where(F.col("c_custkey") % 17 != 0)
+    c, k = _customers_with_nation(spark, sf_dir), F.col("c_custkey")
     return conform(c.select(
-        F.col("c_custkey").alias("id"),
+        F.when(k % 17 == 0, -k - 1).otherwise(k).alias("id"),
         _country(F.col("n_name")).alias("country"),
         _null_if(F.col("c_mktsegment") == "MACHINERY", F.col("c_acctbal") < 0).alias("bad_behavior"),
     ), "users")
@@ -101,7 +109,7 @@ def multi_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def credit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _customers_with_nation(spark, sf_dir).where(F.col("c_custkey") % 7 != 0)
+    base = _customers_with_nation(spark, sf_dir)
     k = F.col("c_custkey")
     rows = base.select("*", _copies(k % 11 == 0).alias("copy"))
 
@@ -110,7 +118,7 @@ def credit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return conform(rows.select(
         F.when(F.col("copy") == 1, k + SECOND_COPY_OFFSET).otherwise(k).alias("id"),
-        _null_if(k % 29 == 0, k).alias("user_id"),
+        _null_if(k % 29 == 0, F.when(k % 7 == 0, -k - SECOND_COPY_OFFSET).otherwise(k)).alias("user_id"),
         _country(F.col("n_name")).alias("country"),
         F.col("c_mktsegment").alias("credit_label"),
         flag(2, 5).alias("has_credit_check"),

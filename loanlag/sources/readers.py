@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schemas import SCHEMAS
 
@@ -42,14 +43,28 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def read_table(spark: SparkSession, table: str, path: str, fmt: str = "parquet",
                options: dict[str, str] | None = None) -> DataFrame:
-    """Read one table from files (parquet by default) and conform it."""
-    reader = spark.read.format(fmt)
-    if fmt != "parquet":
-        # Text formats carry no types; give them the contract up front.
-        reader = reader.schema(SCHEMAS[table])
-    if options:
-        reader = reader.options(**options)
-    return conform(reader.load(path), table)
+    """Read one table from files (parquet by default) and conform it.
+
+    Columns are found by name in every format that has names; a missing one
+    raises.  CSV with ``header=true`` is read by its header, which every file
+    must repeat in the same order; without a header the columns are those of
+    the contract, in order.  JSON names are gathered from all records first.
+    A value that does not parse as its column's type raises (``FAILFAST``,
+    unless the options name another mode).
+    """
+    options = dict(options or {})
+    if fmt not in ("csv", "json"):
+        return conform(spark.read.format(fmt).options(**options).load(path), table)
+    names = {f.name: f for f in SCHEMAS[table].fields}
+    schema = SCHEMAS[table]
+    if fmt == "json":
+        conform(spark.read.options(**options, primitivesAsString="true").json(path), table)
+    elif str(options.get("header", "false")).lower() == "true":
+        columns = spark.read.options(**options).csv(path).columns
+        schema = T.StructType([names.get(c, T.StructField(c, T.StringType())) for c in columns])
+        options.setdefault("enforceSchema", "false")
+    options.setdefault("mode", "FAILFAST")
+    return conform(spark.read.format(fmt).schema(schema).options(**options).load(path), table)
 
 
 def read_tables(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",

@@ -21,7 +21,7 @@ def test_fixture_tables_follow_the_contracts(tables):
 def test_fixture_row_counts(tables):
     counts = [getattr(tables, n).count()
               for n in ("users", "loans", "listings", "multi_payments", "credit_reports")]
-    assert counts == [1411, 15000, 15366, 60000, 1402]
+    assert counts == [1500, 15000, 15366, 60000, 1637]
 
 
 def test_conform_rejects_missing_columns(spark):
@@ -45,6 +45,42 @@ def test_read_csv_with_the_contract_schema(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(1, "US", True), (2, None, False)]
 
 
+def _file(name, text):
+    path = os.path.join(tempfile.mkdtemp(prefix="loanlag-text-"), name)
+    with open(path, "w") as fh:
+        fh.write(text)
+    return path
+
+
+def test_csv_columns_are_found_by_name(spark):
+    path = _file("users.csv", "country,extra,id,bad_behavior\nUS,x,1,true\n,y,2,\n")
+    df = read_table(spark, "users", path, fmt="csv", options={"header": "true"})
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "US", True), (2, None, None)]
+
+
+def test_values_that_do_not_parse_raise(spark):
+    header, cases = {"header": "true"}, [
+        ("csv", "id,country,bad_behavior\nx2,US,true\n", {"header": "true"}),
+        ("csv", "x2,US,true\n", {}),
+        ("json", '{"id": "x2", "country": "US", "bad_behavior": true}\n', {}),
+    ]
+    assert header
+    for fmt, text, options in cases:
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ|FAILFAST"):
+            read_table(spark, "users", _file(f"users.{fmt}", text), fmt, options).collect()
+
+
+def test_missing_fields_raise(spark):
+    for fmt, text, options in (("csv", "id,country\n1,US\n", {"header": "true"}), ("json", '{"id": 1, "country": "US"}\n', {})):
+        with pytest.raises(ValueError, match="bad_behavior"):
+            read_table(spark, "users", _file(f"users.{fmt}", text), fmt, options)
+
+
+def test_json_by_name(spark):
+    path = _file("users.json", '{"country": "US", "id": 1}\n{"bad_behavior": false, "id": 2}\n')
+    assert sorted(tuple(r) for r in read_table(spark, "users", path, "json").collect()) == [(1, "US", None), (2, None, False)]
+
+
 def test_jdbc_options_partitioned_read():
     opts = jdbc_options("jdbc:postgresql://db/loans", "multi_payments", user="u", password="p",
                         partition_column="id", lower_bound=0, upper_bound=1_000_000,
