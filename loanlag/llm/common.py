@@ -18,14 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset (tests, a single machine) a temporary folder is set
-    for the session.
+    Where that is unset (tests, a single machine) a temporary folder becomes
+    the context's checkpoint folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -66,8 +65,8 @@ def total_before(df: DataFrame, group: list[str], bucket: str, order: list[str],
     keys = [*group, bucket]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
     ahead = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*keys, F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__base"))
+    base = sums.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__base"))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__own", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = rows.join(base, null_safe(rows, base, keys), "left")
-    return joined.select(*[rows[c] for c in df.columns], (base["__base"] + rows["__own"]).alias(out))
+    joined = rows.join(base, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]), "left")
+    return joined.select(*df.columns, (F.col("__base") + F.col("__own")).alias(out))
