@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlag.llm import hyper_langid, simhash_cover, source_mix, suffix_dedup, tree_bpe
-from loanlag.llm.common import materialize, table
+from loanlag.llm.common import materialize, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language is unknown or its cosine is not above this.
@@ -20,6 +20,7 @@ MIN_COSINE = 0.0
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a missing ``lang`` becomes the predicted one."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     prototypes = hyper_langid.learn(docs.where(F.col("doc_id").isNotNull() & ~hyper_langid.held_out("doc_id")))
     judged = hyper_langid.predict(docs, prototypes, keep=COLUMNS)
@@ -46,6 +47,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and the digests of ids and decoding."""
+    small_batches(spark)
     encoded = tree_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
     return encoded.select(

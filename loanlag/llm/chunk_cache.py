@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 #: Pieces that a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Longer pieces are not kept.
 CACHED_LENGTH = 64
 
@@ -32,7 +32,7 @@ class ChunkCache:
         return found
 
 
-def runs(texts: list[str], limit: int = 2_000_000) -> Iterator[slice]:
+def runs(texts: list[str], limit: int = 500_000) -> Iterator[slice]:
     """Runs of texts that hold about ``limit`` characters together, at least one text each."""
     at = 0
     while at < len(texts):

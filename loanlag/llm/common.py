@@ -10,8 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that Spark hands to a Python worker at once: whole texts may be long.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     lost meanwhile.
     """
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

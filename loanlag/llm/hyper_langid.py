@@ -21,7 +21,7 @@ SEED = 8
 #: Different texts that a language is learned from, at most, those of the smallest hashes.
 SAMPLE_PER_LANGUAGE = 2000
 #: Trigram vectors that a Python worker keeps; beyond it they are made anew.
-KNOWN_TRIGRAMS = 40_000
+KNOWN_TRIGRAMS = 15_000
 #: Unit vectors are summed as integers of this scale, so that the sums do not depend on the order.
 SCALE = 1 << 20
 #: With more languages than this their limits are joined by a shuffle.
@@ -82,7 +82,9 @@ class Space:
         if len(self.rows) > KNOWN_TRIGRAMS:
             self.forget()
         rows = [self.row(t) for t in found[0].tolist()]
-        vector = found[1].astype(np.float32) @ self.vectors[rows].astype(np.float32)
+        counts, vector = found[1].astype(np.float32), np.zeros(self.dimensions, dtype=np.float32)
+        for at in range(0, len(rows), 1024):
+            vector += counts[at:at + 1024] @ self.vectors[rows[at:at + 1024]].astype(np.float32)
         norm = float(np.linalg.norm(vector))
         return vector.astype(np.float64) / norm if norm else np.zeros(self.dimensions)
 

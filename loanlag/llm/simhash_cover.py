@@ -32,7 +32,7 @@ RADIUS = 1
 HOME_BLOCK = 4096
 #: So many anchors at most are sent to every executor as the list of those with several blocks.
 BROADCAST_ANCHORS = 100_000
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -111,8 +111,8 @@ def replicas(distinct: DataFrame, parts: int, threshold: int) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for part, a in enumerate(anchors):
-                for at in range(0, len(fps), 20_000):
-                    some = fps[at:at + 20_000]
+                for at in range(0, len(fps), 5_000):
+                    some = fps[at:at + 5_000]
                     who, where, home = a.of(some)
                     yield pa.RecordBatch.from_arrays([
                         pa.array((where | np.uint64(part << 56)).view(np.int64)), pa.array(home), pa.array(some[who].view(np.int64))], names=["anchor", "home", "fp"])

@@ -37,7 +37,7 @@ AT_ONCE = 2048
 #: A group too large is split by so many ranges of window starts at a time.
 FAN = 4
 #: Bytes hashed at once.
-BUFFER = 4_000_000
+BUFFER = 500_000
 
 STRIP = "doc_id long, text_hash long, anchor int, lo int, hi int, key long, strip long"
 
