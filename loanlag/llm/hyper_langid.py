@@ -21,7 +21,7 @@ SEED = 8
 #: Different texts that a language is learned from, at most, those of the smallest hashes.
 SAMPLE_PER_LANGUAGE = 2000
 #: Trigram vectors that a Python worker keeps; beyond it they are made anew.
-KNOWN_TRIGRAMS = 15_000
+KNOWN_TRIGRAMS = 32_000
 #: Unit vectors are summed as integers of this scale, so that the sums do not depend on the order.
 SCALE = 1 << 20
 #: With more languages than this their limits are joined by a shuffle.
