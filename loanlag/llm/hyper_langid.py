@@ -83,8 +83,9 @@ class Space:
             self.forget()
         rows = [self.row(t) for t in found[0].tolist()]
         counts, vector = found[1].astype(np.float32), np.zeros(self.dimensions, dtype=np.float32)
+        # einsum: a product by BLAS would start threads in every worker of a machine.
         for at in range(0, len(rows), 1024):
-            vector += counts[at:at + 1024] @ self.vectors[rows[at:at + 1024]].astype(np.float32)
+            vector += np.einsum("i,ij->j", counts[at:at + 1024], self.vectors[rows[at:at + 1024]].astype(np.float32))
         norm = float(np.linalg.norm(vector))
         return vector.astype(np.float64) / norm if norm else np.zeros(self.dimensions)
 
