@@ -16,6 +16,9 @@ from loanlag.llm.common import materialize, small_batches, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language is unknown or its cosine is not above this.
 MIN_COSINE = 0.0
+#: Bytes of a string whose repeats go: fewer than nearly all passages of 51 words have.  Its anchors lie among the first REPEAT_REACH places.
+REPEAT_BYTES = 250
+REPEAT_REACH = 128
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +37,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the characters that repeated 400-byte strings cover; ``n_chars`` is counted anew."""
-    removed = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=400, characters=True, carry=["lang", "source"])
+    """All documents without the characters that repeated strings of REPEAT_BYTES cover; ``n_chars`` is counted anew."""
+    removed = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=REPEAT_BYTES, characters=True, carry=["lang", "source"], reach=REPEAT_REACH)
     text = F.col("kept").cast("string")
     return removed.select("doc_id", text.alias("text"), "carried.lang", "carried.source", F.length(text).cast("long").alias("n_chars"))
 

@@ -1,7 +1,7 @@
 """Removal of repeated substrings by suffix arrays.
 
 Every string of ``length`` bytes, a window, belongs to an anchor: the leftmost
-place of the smallest hash among its first ``REACH`` places.  That depends on
+place of the smallest hash among its first ``reach`` places.  That depends on
 the window's bytes alone, so equal windows have equal anchors at the same
 place.  The windows of one document that share an anchor make a strip.  Only
 strips whose anchors begin with the same bytes can hold equal windows; Spark
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import materialize, null_safe
 from .suffix_groups import suffix_array
 
-#: Places of a window that can be its anchor.
+#: Places of a window that can be its anchor, where none are given.
 REACH = 256
+#: Bytes that a window has beyond its reach, at least.
+BEYOND = 44
 #: Bytes that the hash of a place looks at.
 GRAM = 16
 #: Bytes that are one symbol of the suffix arrays.
@@ -67,15 +69,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n - width + 1], up[width - 1:n])
 
 
-def strips_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def strips_of(texts: list[bytes], length: int, reach: int = REACH) -> tuple[np.ndarray, ...]:
     """(text number, anchor, first and last window start, key, hash of the strip) of all texts' strips."""
     joined = b"".join(texts)
-    data = np.frombuffer(joined + bytes(REACH + GRAM), dtype=np.uint8)
+    data = np.frombuffer(joined + bytes(reach + GRAM), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     bits = np.uint64(max(len(data), 2).bit_length())
     places = np.arange(len(data) - GRAM, dtype=np.uint64)
-    least = sliding_least(place_hashes(data) >> bits << bits | places, REACH) & ((np.uint64(1) << bits) - np.uint64(1))
+    least = sliding_least(place_hashes(data) >> bits << bits | places, reach) & ((np.uint64(1) << bits) - np.uint64(1))
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(texts)), windows)
     start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begins[text]
@@ -83,7 +85,7 @@ def strips_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])) if len(start) else np.array([], dtype=np.int64)
     last = np.append(first[1:], len(start))[:len(first)] - 1
     lo, hi, anchor, text = start[first], start[last], anchor[first], text[first]
-    common = length - REACH + 1
+    common = length - reach + 1
     digest = xxhash.xxh3_64_intdigest
     view = memoryview(joined)
     keys = np.array([digest(view[a:a + common]) for a in anchor.tolist()], dtype=np.uint64)
@@ -92,7 +94,7 @@ def strips_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text, anchor - at, lo - at, hi - at, keys.view(np.int64), strips.view(np.int64)
 
 
-def strips(docs: DataFrame, length: int) -> DataFrame:
+def strips(docs: DataFrame, length: int, reach: int = REACH) -> DataFrame:
     """All strips of (doc_id, text_hash, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def strips(docs: DataFrame, length: int) -> DataFrame:
                 while end < len(texts) and held + len(texts[end]) <= BUFFER:
                     held += len(texts[end])
                     end += 1
-                text, anchor, lo, hi, key, strip = strips_of(texts[at:end], length)
+                text, anchor, lo, hi, key, strip = strips_of(texts[at:end], length, reach)
                 own = pa.array(text + at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(own), batch.column(1).take(own), *[pa.array(x.astype(np.int32)) for x in (anchor, lo, hi)], pa.array(key), pa.array(strip)],
@@ -140,7 +142,7 @@ def order(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return sorted_, np.concatenate([[0], shared])[:len(strings)]
 
 
-def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray, count: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray, count: np.ndarray, length: int, reach: int = REACH) -> list[list[tuple[int, int]]]:
     """For each class the runs of windows that occur elsewhere too, as (from, to) distances before the anchor.
 
     ``before`` holds what precedes the anchor, ``after`` what it and its
@@ -152,7 +154,7 @@ def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray,
     """
     n = len(after)
     right, right_shared = order(after, length)
-    left, left_shared = order([b[::-1] for b in before], REACH)
+    left, left_shared = order([b[::-1] for b in before], reach)
     found = np.zeros((n, int(most.max()) + 1), dtype=bool)
     for l in range(int(least.min()), int(most.max()) + 1):
         own = (least <= l) & (l <= most)
@@ -169,14 +171,14 @@ def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray,
     return runs
 
 
-def sort_groups(members: DataFrame, length: int) -> DataFrame:
+def sort_groups(members: DataFrame, length: int, reach: int = REACH) -> DataFrame:
     """(key, strip, runs) of classes: groups of one ``part`` are kept together, several small ones are sorted at once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            runs = repeated_windows([r[5] for r in rows], [r[6] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[7] for r in rows]), length)
+            runs = repeated_windows([r[5] for r in rows], [r[6] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[7] for r in rows]), length, reach)
             some = [(r, x) for r, x in zip(rows, runs, strict=True) if x]
             pairs = [[{"first": a, "last": b} for a, b in x] for _, x in some]
             return pa.RecordBatch.from_arrays([pa.array([r[1] for r, _ in some], pa.int64()), pa.array([r[2] for r, _ in some], pa.int64()), pa.array(pairs, RUNS)], names=["key", "strip", "runs"])
@@ -221,7 +223,7 @@ def split_groups(members: DataFrame, length: int, reach: int) -> DataFrame:
     return rows.withColumn("rest", rest).withColumn("part", part).drop("range", "low", "high")
 
 
-def shared_runs(members: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+def shared_runs(members: DataFrame, length: int, group: int = GROUP, reach: int = REACH) -> DataFrame:
     """(key, strip, runs) of the classes in ``members`` that share windows with others.
 
     ``members``: part, key, strip, least, most, before, after, n.  Groups of
@@ -229,30 +231,30 @@ def shared_runs(members: DataFrame, length: int, group: int = GROUP) -> DataFram
     common strings until they are small enough.  A range of one window start
     needs no sorting: its part is the window.
     """
-    found, reach = None, REACH
+    found, starts = None, reach
     while True:
         sizes = materialize(members.groupBy("part").agg(F.count("*").alias("classes")).where("classes > 1"))
         sized = members.join(sizes, "part")
-        small = sort_groups(sized.where(F.col("classes") <= group), length)
+        small = sort_groups(sized.where(F.col("classes") <= group), length, reach)
         found = small if found is None else found.unionByName(small)
         if sizes.where(F.col("classes") > group).isEmpty():
             return found
-        reach //= FAN
-        split = materialize(split_groups(sized.where(F.col("classes") > group), length, reach))
+        starts = max(starts // FAN, 1)
+        split = materialize(split_groups(sized.where(F.col("classes") > group), length, starts))
         # Equal rests are repeated as they are; one of them stays to be compared with the others of its part.
         rests = materialize(split.groupBy("part", "rest").agg(F.sum("n").alias("all"), F.min(F.struct("key", "strip")).alias("kept")))
         joined = split.join(rests, ["part", "rest"])
         whole = joined.where("all > 1").select("key", "strip", F.array(F.struct(F.col("least").alias("first"), F.col("most").alias("last"))).alias("runs"))
         found = found.unionByName(whole)
-        if reach <= 1:
+        if starts <= 1:
             return found
         one_each = joined.where((F.col("kept.key") == F.col("key")) & (F.col("kept.strip") == F.col("strip")))
         members = materialize(one_each.select("part", "key", "strip", "least", "most", "before", "after", F.col("all").alias("n")))
 
 
-def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, group: int = GROUP, reach: int = REACH) -> DataFrame:
     """(doc_id, text_hash, spans): the byte ranges of the windows of (doc_id, text_hash, text) that occur more than once."""
-    all_strips = materialize(strips(docs, length))
+    all_strips = materialize(strips(docs, length, reach))
     # Written, so that the join below stands between two plain shuffles, of which Spark splits the large partitions.
     several = materialize(all_strips.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     live = materialize(all_strips.join(several, "key"))
@@ -270,7 +272,7 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP) -> DataFram
         F.substring(F.col("bytes"), F.col("w.anchor") + 1, F.col("w.hi") + length - F.col("w.anchor")).alias("after"))
     # A row that the table holds twice gives its strips twice.
     members = materialize(cut.dropDuplicates(["key", "strip"]))
-    shared = shared_runs(members, length, group)
+    shared = shared_runs(members, length, group, reach)
     whole = classes.where("n > 1").select("key", "strip", F.array(F.struct((F.col("at.anchor") - F.col("at.hi")).alias("first"), (F.col("at.anchor") - F.col("at.lo")).alias("last"))).alias("runs"))
     runs = whole.unionByName(shared).select("key", "strip", F.explode("runs").alias("run"))
     spans = live.join(runs, ["key", "strip"]).select(
@@ -304,7 +306,7 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 def remove_repeats(
     docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP,
-    characters: bool = False, carry: list[str] | None = None,
+    characters: bool = False, carry: list[str] | None = None, reach: int = REACH,
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, carried) of every row.
 
@@ -313,18 +315,19 @@ def remove_repeats(
     judged on the input.  ``spans`` are the maximal removed byte ranges,
     (first, stop), ``kept`` the remaining bytes.  With ``characters`` a
     character that would be removed in part stays, so that ``kept`` is text.
-    ``carried`` holds the columns ``carry``.  ``length`` is at least 300.
-    A null text counts as empty; texts shorter than ``length`` stay as they
-    are; repeated rows are documents of their own, so that they remove each
-    other; null ids are ids like others; an empty table gives no rows.  Other
-    columns are not read.
+    ``carried`` holds the columns ``carry``.  ``length`` is at least
+    ``reach`` + 44; a smaller ``reach`` allows shorter strings and makes more
+    strips.  A null text counts as empty; texts shorter than ``length`` stay
+    as they are; repeated rows are documents of their own, so that they remove
+    each other; null ids are ids like others; an empty table gives no rows.
+    Other columns are not read.
     """
-    if length < REACH + 44:
-        raise ValueError(f"length must be at least {REACH + 44}")
+    if length < reach + BEYOND:
+        raise ValueError(f"length must be at least {reach + BEYOND}")
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "carried")
-    spans = repeated_spans(rows.drop("carried"), length, group)
+    spans = repeated_spans(rows.drop("carried"), length, group, reach)
     joined = rows.join(spans, null_safe(rows, spans, ["doc_id", "text_hash"]), "left").select(rows["doc_id"], rows["text"], spans["spans"], rows["carried"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

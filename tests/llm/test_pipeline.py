@@ -1,6 +1,7 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -46,6 +47,26 @@ def test_repeats_are_gone(steps):
         assert lengths[r.doc_id] <= len(r.text.encode()) <= lengths[r.doc_id] + 60 and r.n_chars == len(r.text)
 
 
+def test_repeats_of_the_stage_length_are_gone(steps):
+    lengths = {d: n - gone for d, n, gone, _, _ in brute([(r.doc_id, r.text) for r in steps[2]], corpus_pipeline.REPEAT_BYTES)}
+    assert {r.doc_id for r in steps[3]} == set(lengths)
+    for r in steps[3]:
+        assert lengths[r.doc_id] <= len(r.text.encode()) <= lengths[r.doc_id] + 60 and r.n_chars == len(r.text)
+
+
+def test_passages_of_51_words_are_removed(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passages = [words(51) for _ in range(20)]
+    assert all(250 <= len(p) < 400 for p in passages)
+    own = [[words(150), words(150)] for _ in range(40)]
+    rows = [(i, f"{a}{i % 2} . {passages[i // 2]} . {i % 2}{b}") for i, (a, b) in enumerate(own)]
+    got = {r.doc_id: r for r in corpus_pipeline.repeat_removal(spark, docs_of(spark, rows), SF0001).collect()}
+    for i, (a, b) in enumerate(own):
+        left = f"{a}{i % 2}{i % 2}{b}"
+        assert got[i].text == left and got[i].n_chars == len(left)
+
+
 def test_mix(steps):
     words = lambda t: len(re.findall(source_mix.WORD, t))
     sizes, got = defaultdict(int), defaultdict(int)

@@ -67,6 +67,13 @@ def test_shared_passages(spark, group):
     assert run(docs_of(spark, rows), length=300, group=group) == brute(rows, 300)
 
 
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
+@pytest.mark.parametrize("length, reach", [(172, 128), (250, 128), (250, 100)])
+def test_shorter_reach(spark, length, reach, group):
+    rows = repeats(2)
+    assert run(docs_of(spark, rows), length=length, reach=reach, group=group) == brute(rows, length)
+
+
 def test_edge_rows(spark):
     assert run(docs_of(spark, EDGE)) == brute(EDGE, 400)
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
