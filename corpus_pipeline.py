@@ -14,20 +14,18 @@ from loanlag.llm import hyper_langid, simhash_cover, source_mix, suffix_dedup, t
 from loanlag.llm.common import materialize, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its language is unknown or its cosine is not above this.
-MIN_COSINE = 0.0
 #: Bytes of a string whose repeats go: fewer than nearly all passages of 51 words have.  Its anchors lie among the first REPEAT_REACH places.
 REPEAT_BYTES = 250
 REPEAT_REACH = 128
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; a missing ``lang`` becomes the predicted one."""
+    """Documents in a known language, those whose cosine is above noise; a missing ``lang`` becomes the predicted one."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     prototypes = hyper_langid.learn(docs.where(F.col("doc_id").isNotNull() & ~hyper_langid.held_out("doc_id")))
-    judged = hyper_langid.predict(docs, prototypes, keep=COLUMNS)
-    kept = judged.where((F.col("lang_pred") != hyper_langid.UNKNOWN) & (F.col("score") > MIN_COSINE))
+    judged = hyper_langid.predict(docs, prototypes, keep=COLUMNS, trigrams=True)
+    kept = judged.where((F.col("lang_pred") != hyper_langid.UNKNOWN) & hyper_langid.above_noise(F.col("score"), F.col("trigrams")))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -26,6 +26,10 @@ KNOWN_TRIGRAMS = 32_000
 SCALE = 1 << 20
 #: With more languages than this their limits are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
+#: The cosine of a text with a language it has nothing of deviates from 0 by 1/sqrt(dimensions); up to so many deviations are noise.
+NOISE = 5
+#: Trigrams from which on a text of a learned language clears all of the noise bound; with fewer the bound falls with their square.
+ENOUGH_TRIGRAMS = 64
 UNKNOWN = "und"
 BLANK = 32
 
@@ -77,8 +81,10 @@ class Space:
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The text's vector at unit length; None without letters."""
         found = self.trigrams(text) if text else None
-        if found is None:
-            return None
+        return None if found is None else self.bundle_of(found)
+
+    def bundle_of(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The vector of trigrams and their counts, at unit length."""
         if len(self.rows) > KNOWN_TRIGRAMS:
             self.forget()
         rows = [self.row(t) for t in found[0].tolist()]
@@ -90,6 +96,18 @@ class Space:
         return vector.astype(np.float64) / norm if norm else np.zeros(self.dimensions)
 
 
+def spread(counts: np.ndarray) -> float:
+    """How many trigrams, all as frequent, would vary as much as those of ``counts``: a text of one word over and over has few."""
+    n = counts.astype(np.float64)
+    return float(n.sum() ** 2 / (n ** 2).sum())
+
+
+def above_noise(score: Column, trigrams: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Whether a score says more than chance does for a text of that spread."""
+    share = F.least(F.lit(1.0), trigrams / ENOUGH_TRIGRAMS)
+    return score > F.lit(NOISE / dimensions ** 0.5) * share * share
+
+
 def held_out(id_col: str) -> Column:
     """Whether a row is kept from learning: CRC-32 of its id, as text, is 2 modulo 4.  A null id is not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -124,8 +142,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     return {lang: t / max(np.linalg.norm(t), 1.0) for lang, t in sorted(totals.items())}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred and score.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, trigrams: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row with lang_pred and score, and with ``trigrams`` also that, the ``spread`` of the text's.
 
     ``score`` is the largest cosine, at least 0, to six digits; ties go to
     the first language by name.  Without a letter, or with nothing learned,
@@ -141,18 +159,22 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(matrix.shape[1]) if names else None
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, spreads = [], [], []
             for text in batch.column(at):
-                vector = space.bundle(text.as_py()) if space else None
+                text = text.as_py()
+                found = space.trigrams(text) if space and text else None
+                vector = space.bundle_of(found) if found is not None else None
                 cosines = matrix @ vector if vector is not None else None
                 best = int(np.argmax(cosines)) if cosines is not None else None
                 langs.append(UNKNOWN if best is None else names[best])
                 scores.append(0.0 if best is None else round(min(max(float(cosines[best]), 0.0), 1.0), 6))
-            columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+                spreads.append(0.0 if found is None else spread(found[1]))
+            columns = [*[batch.column(i) for i in range(len(kept))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            more = [pa.array(spreads, pa.float64())] if trigrams else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*kept, "lang_pred", "score", *["trigrams"] * trigrams])
 
     schema = "".join(f"`{n}` {t}, " for n, t in rows.dtypes[:len(kept)])
-    return rows.mapInArrow(each, f"{schema}lang_pred string, score double")
+    return rows.mapInArrow(each, f"{schema}lang_pred string, score double" + ", trigrams double" * trigrams)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from loanlag.llm import source_mix
 from loanlag.llm.common import materialize
-from tests.conftest import SF0001
+from tests.conftest import SF001, SF0001
 from tests.llm.helpers import EDGE, docs_of
 from tests.llm.test_simhash import plain_components
 from tests.llm.test_suffix import brute
@@ -34,6 +34,22 @@ def test_languages(steps):
     assert [tuple(r) for r in after if r not in before] == []
 
 
+def test_unlearned_scripts_and_noise_are_rejected(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang", "source").where("length(text) > 200")
+    known = [tuple(r) for r in docs.orderBy("doc_id").limit(300).collect()]
+    scripts = [(0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9FA5), (0x61, 0x7B)]
+    word = lambda script: "".join(chr(rng.randrange(*script)) for _ in range(rng.randint(2, 9)))
+    foreign = [(10_000 + i, " ".join(word(scripts[i % 4]) for _ in range(200)), None) for i in range(200)]
+    words = [w for _, t, *_ in known for w in re.findall(r"\b[a-z]{6,18}\b", t)]
+    short = [(20_000 + i, w, None) for i, w in enumerate(rng.sample(words, 200))]
+    short += [(30_000 + i, " ".join(rng.sample(words, 3) * 300), None) for i in range(20)]
+    got = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs_of(spark, known + foreign + short), SF001).collect()}
+    assert [d for d, *_ in foreign if d in got] == []
+    assert [t for d, t, *_ in known + short if d not in got] == []
+    assert all(r.lang is not None for r in got.values())
+
+
 def test_one_of_each_group(steps):
     groups = plain_components([(r.doc_id, r.text) for r in steps[1]])
     assert {r.doc_id for r in steps[2]} == {c for _, _, c in groups}
