@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, hyper_langid, license_rules, permutation_index, pivot_table, simhash_cover, source_mix, suffix_dedup, token_blocks, tree_bpe
+from . import (
+    hash_tree, hyper_langid, license_rules, line_dedup, permutation_index, phrase_mining, pivot_table, simhash_cover, source_mix, suffix_dedup, token_alignment,
+    token_blocks, tree_bpe)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +70,31 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two tokenizers aligned, with corpus-wide counts of linked ids."""
+    return token_alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more share."""
+    return line_dedup.digests(line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_length=40, min_documents=5))
+
+
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language, mined from all documents."""
+    return phrase_mining.mine(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op5_simhash_cover, op6_tree_bpe, op7_suffix_dedup, op8_hyper_langid, op9_license_rules, op10_token_blocks)
+    f.__name__: f for f in (
+        op1_permutation_index, op2_pivot_table, op3_hash_tree, op4_source_mix, op5_simhash_cover, op6_tree_bpe, op7_suffix_dedup, op8_hyper_langid,
+        op9_license_rules, op10_token_blocks, op11_token_alignment, op12_line_dedup, op13_phrase_automata)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_hash_tree": hash_tree.oracle(hash_tree.layout(SHARDS), hash_tree.layout(SHARDS + 1)),
     "op4_source_mix": source_mix.oracle(),
     "op9_license_rules": license_rules.oracle(),
+    "op12_line_dedup": line_dedup.oracle(),
+    "op13_phrase_automata": phrase_mining.oracle(),
 }
