@@ -1,8 +1,8 @@
 """Phrases that stand together more often than their parts suggest.
 
-Shards of text are counted into weighted automata (``count_automata``), whose
-arcs are shuffled by the states they leave, united there and summed by prefix
-range.  Words are counted first, then pairs of frequent words, then longer
+Shards of text are counted into weighted automata (``count_automata``), which
+are dealt out by the words their phrases begin with, united there and summed by
+prefix range.  Words are counted first, then pairs of frequent words, then longer
 phrases along frequent pairs: a phrase is no more frequent than its parts.
 At last candidates' parts are looked up by composition with the automata of
 frequent phrases.
@@ -24,9 +24,11 @@ from .common import materialize
 from .count_automata import NO_WORD, CountAutomaton, numbered, rows_of
 
 #: Bytes of text that are counted as one shard.
-SHARD_BYTES = 1 << 24
-#: Bytes of arcs that are united at once.
+SHARD_BYTES = 1 << 23
+#: Bytes of phrases that are united at once.
 UNITED_BYTES = 1 << 23
+#: Words of the corpus for each bucket of states.
+BUCKET_WORDS = 200_000
 #: A state with more windows than this is dealt out by the word that follows; beyond ``hot_keys``'s bound of states, than their share.
 HOT_STATE = 2_000_000
 #: The filter of phrases that may be frequent has 2 to this power of bits at any input: beyond it, it lets more through.
@@ -56,10 +58,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndar
     first = at[:-1][at[:-1] < at[1:]]
     begins[first] = inside[first]
     start = np.flatnonzero(begins)
-    offsets = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int64)
+    offsets = np.append(start - np.searchsorted(np.flatnonzero(kind), start), inside.sum()).astype(np.int64)
     cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     numbers, words = numbered(cut)
-    return numbers, words, np.searchsorted(at, start, side="right") - 1, np.cumsum(kind == 2)[start]
+    return numbers, words, np.searchsorted(at, start, side="right") - 1, np.searchsorted(np.flatnonzero(kind == 2), start)
 
 
 def word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
@@ -72,6 +74,23 @@ def bits_at(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+class Dealt:
+    """Deals the phrases that begin with the same words out to one bucket, those of hot states to several by the word that follows."""
+
+    def __init__(self, buckets: int, hot: dict[int, int]):
+        self.buckets = np.uint64(buckets)
+        self.hot = np.array(sorted(hot), dtype=np.uint64)
+        self.into = np.array([hot[h] for h in sorted(hot)], dtype=np.uint64)
+
+    def bucket(self, states: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """The buckets, from the hashes of the states and of the words that follow."""
+        part = np.zeros(len(states), dtype=np.uint64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, states), len(self.hot) - 1)
+            part = np.where(self.hot[at] == states, following % self.into[at], part)
+        return ((((states ^ (part * FOLD)) * SPREAD) >> np.uint64(20)) % self.buckets).astype(np.int64)
+
+
 def joined(lists: np.ndarray, words: pa.Array, by: str) -> pa.Array:
     """The words of lists of which ``lists`` gives the ends, joined."""
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], lists]).astype(np.int32)), words), by)
@@ -101,58 +120,50 @@ class Shard:
         word = pa.concat_arrays([self.word_of, pa.nulls(len(self.langs), pa.string())])
         return [lang, word, pa.array(np.concatenate([counts, totals]))], ["lang", "phrase", "f"]
 
-    def windows(self, head: int, tail: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One row for each window of ``head`` words and one to ``tail`` more, as far as phrases of ``head`` words may be frequent; and the words' hashes."""
-        hashes = self.hashes()
+    def windows(self, head: int, tail: int, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """One row for each window of ``head`` words and one to ``tail`` more, as far as phrases of ``head`` words may be frequent."""
         folded, n = hashes[self.words], len(self.words)
         whole = np.ones(n, dtype=bool)
         for k in range(1, head):
             whole[n - k:] = False
             whole[:n - k] &= self.goes_on[k - 1:n - 1]
             folded[:n - k] = folded[:n - k] * FOLD + hashes[self.words[k:]]
-        # Whether a phrase of ``head`` words that may be frequent begins at a place; then a window goes on as long as the next place has one.
+        # Whether a phrase of ``head`` words that may be frequent begins at a place; a window goes on as long as the next place has one.
         may = whole & bits_at(bits, folded)
-        rows = np.full((n, head + tail), NO_WORD, dtype=np.int64)
-        alive = may.copy()
-        for k in range(head):
-            rows[:n - k, k] = self.words[k:]
+        steps = np.zeros((tail, n), dtype=bool)
+        alive = may
         for k in range(tail):
-            step = np.zeros(n, dtype=bool)
             at = head + k
             if at < n:
-                step[:n - at] = self.goes_on[at - 1:n - 1] & may[k + 1:n - at + k + 1]
-            alive &= step
-            rows[alive, at] = self.words[np.flatnonzero(alive) + at]
-        return rows[rows[:, head] != NO_WORD], hashes
-
-    def arcs(self, head: int, tail: int, bits: np.ndarray, hot: dict[tuple[str, str], int]) -> tuple[list, list[str]]:
-        """The shard's automaton, one row for each state of ``head`` words (and bucket of it): what follows, line by line, with its counts."""
-        rows, hashes = self.windows(head, tail, bits)
+                steps[k, :n - at] = alive[:n - at] & self.goes_on[at - 1:n - 1] & may[k + 1:n - at + k + 1]
+            alive = steps[k]
+        begin = np.flatnonzero(steps[0])
+        rows = np.full((len(begin), head + tail), NO_WORD, dtype=np.int64)
+        for k in range(head + tail):
+            long = slice(None) if k <= head else np.flatnonzero(steps[k - head, begin])
+            rows[long, k] = self.words[begin[long] + k]
+        return rows
+
+    def arcs(self, head: int, tail: int, bits: np.ndarray, dealt: Dealt) -> tuple[list, list[str]]:
+        """The shard's automaton of windows, one row for a language and bucket: its phrases in order, line by line, with their counts."""
+        hashes = self.hashes()
+        rows = self.windows(head, tail, bits, hashes)
         automaton = CountAutomaton.united(rows, np.ones(len(rows), dtype=np.int64))
         rows, counts = automaton.rows, automaton.counts
-        new = np.zeros(len(rows), dtype=bool)
-        new[:1] = True
-        for k in range(head):
-            new[1:] |= rows[1:, k] != rows[:-1, k]
-        begin = np.flatnonzero(new)
-        heads = joined(np.arange(1, len(begin) + 1) * head, self.word_of.take(pa.array(rows[begin, :head].ravel())), " ")
-        langs = self.languages(rows[begin, 0])
-        part = np.zeros(len(rows), dtype=np.int64)
-        if hot:
-            buckets = np.array([hot.get(x, 1) for x in zip(langs.to_pylist(), heads.to_pylist(), strict=True)], dtype=np.uint64)
-            part = (hashes[rows[:, head]] % np.repeat(buckets, np.diff(np.append(begin, len(rows))))).astype(np.int64)
-            state = np.cumsum(new) - 1
-            order = np.lexsort((part, state))
-            rows, counts, part, state = rows[order], counts[order], part[order], state[order]
-            begin = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (part[1:] != part[:-1])])) if len(rows) else begin
-            heads, langs = heads.take(pa.array(state[begin])), langs.take(pa.array(state[begin]))
-        long = rows[:, head:] != NO_WORD
-        tails = joined(np.cumsum(long.sum(axis=1)), self.word_of.take(pa.array(rows[:, head:][long])), " ")
+        states = hashes[rows[:, 0]]
+        for k in range(1, head):
+            states = states * FOLD + hashes[rows[:, k]]
+        bucket, lang = dealt.bucket(states, hashes[rows[:, head]]), self.lang_of[rows[:, 0]]
+        order = np.lexsort((bucket, lang))
+        rows, counts, bucket, lang = rows[order], counts[order], bucket[order], lang[order]
+        begin = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])])) if len(rows) else np.array([], dtype=np.int64)
+        long = rows != NO_WORD
+        phrases = joined(np.cumsum(long.sum(axis=1)), self.word_of.take(pa.array(rows[long])), " ")
         ends = np.append(begin[1:], len(rows)) if len(begin) else begin
         return [
-            langs, heads, pa.array(part[begin].astype(np.int32)), joined(ends, tails, "\n"),
+            self.langs.take(pa.array(lang[begin])), pa.array(bucket[begin]), joined(ends, phrases, "\n"),
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(counts)),
-        ], ["lang", "head", "part", "tails", "counts"]
+        ], ["lang", "bucket", "phrases", "counts"]
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -213,59 +224,68 @@ def filter_bits(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def hot_states(phrases: DataFrame, total: int, hot_state: int) -> dict[tuple[str, str], int]:
-    """Buckets for the phrases that more than ``hot_state`` windows begin with, or the 100,000th part of all words if that is more: so they are fewer than 100,000."""
-    target = max(hot_state, total // 100_000)
-    return {(lang, phrase): -(-f // target) for lang, phrase, f in phrases.where(F.col("f") > target).collect()}
-
+def dealing(phrases: DataFrame, total: int, hot_state: int, windows: int) -> Dealt:
+    """One bucket for each ``windows`` words of ``total``; several for the phrases that more than ``hot_state`` windows begin with, or the 100,000th part of all words if that is more.
 
-def frequent_longer(rows: DataFrame, shorter: DataFrame, head: int, tail: int, least: int, hot: dict[tuple[str, str], int]) -> DataFrame:
+    So hot phrases are fewer than 100,000.
+    """
+    target = max(hot_state, total // 100_000)
+    found = [(lang, [w.encode() for w in phrase.split(" ")], f) for lang, phrase, f in phrases.where(F.col("f") > target).collect()]
+    hot = {}
+    for lang, words, f in found:
+        hashes = word_hashes([lang] * len(words), words)
+        state = hashes[:1]
+        for k in range(1, len(words)):
+            state = state * FOLD + hashes[k:k + 1]
+        hot[int(state[0])] = -(-f // target)
+    return Dealt(max(1, -(-total // windows)), hot)
+
+
+def frequent_longer(rows: DataFrame, shorter: DataFrame, head: int, tail: int, least: int, dealt: Dealt) -> DataFrame:
     """(lang, phrase, f) of the phrases of more than ``head``, up to ``head + tail`` words, found ``least`` times or more; ``shorter`` holds those of ``head`` words."""
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(filter_bits(shorter))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
-            columns, names = shard.arcs(head, tail, bits.value, hot)
+            columns, names = shard.arcs(head, tail, bits.value, dealt)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    counted = rows.mapInArrow(count, "lang string, head string, part int, tails string, counts array<long>")
-    dealt = counted.repartition("lang", "head", "part").sortWithinPartitions("lang", "head", "part")
-    return materialize(dealt.mapInArrow(uniting(tail, least), "lang string, phrase string, f long"))
+    counted = rows.mapInArrow(count, "lang string, bucket long, phrases string, counts array<long>")
+    sorted_rows = counted.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return materialize(sorted_rows.mapInArrow(uniting(head, tail, least), "lang string, phrase string, f long"))
 
 
-def uniting(tail: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Unites the arcs of each state, which come one after the other, and gives the phrases that weigh ``least`` or more."""
+def uniting(head: int, tail: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Unites the automata of each bucket, which come one after the other, and gives the phrases of more than ``head`` words that weigh ``least`` or more."""
 
-    def union(states: pa.Table) -> tuple[CountAutomaton, np.ndarray, pa.Array]:
-        state = np.cumsum(np.concatenate([[0], changes(states)])) if states.num_rows else np.array([], dtype=np.int64)
-        tails = pc.split_pattern(states["tails"].combine_chunks(), "\n")
-        n = pc.list_value_length(tails).to_numpy(zero_copy_only=False)
-        rows, words = rows_of(tails.flatten())
-        counts = states["counts"].combine_chunks().flatten().to_numpy()
-        return CountAutomaton.united(np.column_stack([np.repeat(state, n), rows]), counts), state, words
+    def union(buckets: pa.Table) -> tuple[CountAutomaton, np.ndarray, pa.Array]:
+        group = np.cumsum(np.concatenate([[0], changes(buckets)]))[:buckets.num_rows]
+        lines = pc.split_pattern(buckets["phrases"].combine_chunks(), "\n")
+        rows, words = rows_of(lines.flatten())
+        counts = buckets["counts"].combine_chunks().flatten().to_numpy()
+        n = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        return CountAutomaton.united(np.column_stack([np.repeat(group, n), rows]), counts), group, words
 
-    def phrases(states: pa.Table) -> pa.RecordBatch:
-        automaton, state, words = union(states)
-        first = np.searchsorted(state, np.arange(int(state.max(initial=-1)) + 1))
-        langs, heads, out = states["lang"], states["head"], ([], [], [])
-        for length in range(1, min(tail, automaton.rows.shape[1] - 1) + 1):
+    def frequent(buckets: pa.Table) -> pa.RecordBatch:
+        automaton, group, words = union(buckets)
+        first = np.searchsorted(group, np.arange(int(group[-1]) + 1))
+        found = [(), (), ()]
+        for length in range(head + 1, min(head + tail, automaton.rows.shape[1] - 1) + 1):
             rows, weights = automaton.prefixes(1 + length, least)
-            of = pa.array(first[rows[:, 0]])
-            said = [words.take(pa.array(rows[:, k])) for k in range(1, length + 1)]
-            out[0].extend(langs.take(of).to_pylist())
-            out[1].extend(pc.binary_join_element_wise(heads.take(of).combine_chunks(), *said, " ").to_pylist())
-            out[2].extend(weights.tolist())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "f"])
-
-    def summed(states: pa.Table) -> pa.Table:
-        """The arcs of one state as one row."""
-        automaton, _, words = union(states)
-        long = automaton.rows[:, 1:] != NO_WORD
-        tails = joined(np.cumsum(long.sum(axis=1)), words.take(pa.array(automaton.rows[:, 1:][long])), " ")
-        return pa.table(
-            [states["lang"][:1], states["head"][:1], states["part"][:1], joined(np.array([len(tails)]), tails, "\n"),
-             pa.ListArray.from_arrays(pa.array([0, len(tails)], pa.int32()), pa.array(automaton.counts)).cast(states["counts"].type)], schema=states.schema)
+            found[0] += tuple(buckets["lang"].take(pa.array(first[rows[:, 0]])).to_pylist())
+            found[1] += tuple(joined(np.arange(1, len(rows) + 1) * length, words.take(pa.array(rows[:, 1:].ravel())), " ").to_pylist())
+            found[2] += tuple(weights.tolist())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "f"])
+
+    def summed(bucket: pa.Table) -> pa.Table:
+        """The automata of one bucket as one row."""
+        automaton, _, words = union(bucket)
+        rows = automaton.rows[:, 1:]
+        long = rows != NO_WORD
+        phrases = joined(np.cumsum(long.sum(axis=1)), words.take(pa.array(rows[long])), " ")
+        counts = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.array(automaton.counts))
+        return pa.table([bucket["lang"][:1], bucket["bucket"][:1], joined(np.array([len(rows)]), phrases, "\n"), counts.cast(bucket["counts"].type)], schema=bucket.schema)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -278,21 +298,21 @@ def uniting(tail: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 last = np.flatnonzero(changes(held))
                 at = int(last[-1]) + 1 if len(last) else 0
                 if at:
-                    yield phrases(held[:at].combine_chunks())
-                # The last state may go on; what it has so far becomes one row.
+                    yield frequent(held[:at].combine_chunks())
+                # The last bucket may go on; what it has so far becomes one row.
                 held = summed(held[at:].combine_chunks())
                 limit = max(UNITED_BYTES, 2 * held.nbytes)
         if held is not None:
-            yield phrases(held.combine_chunks())
+            yield frequent(held.combine_chunks())
 
     return unite
 
 
-def changes(states: pa.Table) -> np.ndarray:
-    """Whether each row but the first is of another state than the row before."""
-    out = np.zeros(max(states.num_rows - 1, 0), dtype=bool)
-    for name in ("lang", "head", "part"):
-        column = states[name].combine_chunks()
+def changes(buckets: pa.Table) -> np.ndarray:
+    """Whether each row but the first is of another language or bucket than the row before."""
+    out = np.zeros(max(buckets.num_rows - 1, 0), dtype=bool)
+    for name in ("lang", "bucket"):
+        column = buckets[name].combine_chunks()
         out |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
     return out
 
@@ -326,7 +346,8 @@ def looked_up(asked: DataFrame, phrases: DataFrame) -> DataFrame:
     return left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(compose, f"{fields}, f long")
 
 
-def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang", hot_state: int = HOT_STATE) -> DataFrame:
+def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang", hot_state: int = HOT_STATE,
+         bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by score.
 
     Texts with A-Z in lower case are split at ``[.,;:!?\\x0A-\\x0D]`` into
@@ -345,8 +366,8 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, t
     rows = rows_in(docs, text_col, lang_col)
     words, totals = frequent_words(rows, least)
     total = totals.agg(F.sum("n")).first()[0] or 0
-    pairs = frequent_longer(rows, words, 1, 1, least, hot_states(words, total, hot_state))
-    longer = frequent_longer(rows, pairs, 2, longest - 2, least, hot_states(pairs, total, hot_state))
+    pairs = frequent_longer(rows, words, 1, 1, least, dealing(words, total, hot_state, bucket_words))
+    longer = frequent_longer(rows, pairs, 2, longest - 2, least, dealing(pairs, total, hot_state, bucket_words))
     phrases = words.unionByName(pairs).unionByName(longer)
     candidates = pairs.unionByName(longer).withColumn("words", F.split("phrase", " ")).withColumn("m", F.size("words"))
 

@@ -56,8 +56,8 @@ def test_edge_rows(spark):
     assert phrase_mining.mine(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot_state", [2_000_000, 3])
-def test_random_prose(spark, monkeypatch, hot_state):
+@pytest.mark.parametrize(("hot_state", "bucket_words"), [(2_000_000, 200_000), (3, 50)])
+def test_random_prose(spark, monkeypatch, hot_state, bucket_words):
     """Small shards and blocks, hot states and hot parts, so that every union and every bucket is met."""
     rng = random.Random(13)
     words = "the of and Éa b\x02 to in x-y é日 10 foo bar baz qux".split(" ")
@@ -65,8 +65,8 @@ def test_random_prose(spark, monkeypatch, hot_state):
     if hot_state == 3:
         for name, value in (("SHARD_BYTES", 2000), ("UNITED_BYTES", 500), ("HOT_PART", 5), ("COMPOSED_AT_ONCE", 50)):
             monkeypatch.setattr(phrase_mining, name, value)
-    assert got(spark, rows, least=4, hot_state=hot_state) == want(rows, 4)
-    assert got(spark, rows, least=9, longest=3, top=7, hot_state=hot_state) == want(rows, 9, 3, 7)
+    assert got(spark, rows, least=4, hot_state=hot_state, bucket_words=bucket_words) == want(rows, 4)
+    assert got(spark, rows, least=9, longest=3, top=7, hot_state=hot_state, bucket_words=bucket_words) == want(rows, 9, 3, 7)
 
 
 def test_products_beyond_64_bits(spark):
