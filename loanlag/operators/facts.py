@@ -12,11 +12,13 @@ shuffle (``keys=[]``, ``loan_status_counts``), so that shuffle carries one
 row per loan per map task and a hot loan costs nothing extra.  Keys that vary
 per payment (due day, instalment number) are nearly unique per (loan, key),
 so pre-summing would not shrink anything; those facts join payment rows to
-the loan side once, with hot loans salted (``joins.salted_join``): a loan
-holding a third of all payments is spread over many tasks and its loan-side
-row is replicated to each.  A report over a creation span (the monthly
-cohorts) pre-sums per loan and key instead: its selective loan side then
-feeds a runtime bloom filter that drops other loans' payments in the scan.
+the loan side once, as a join that AQE can split (``joins.splittable_join``):
+the payments of a loan holding a third of them are read by many tasks, each
+with its loan-side row.  The loan side's filters feed a runtime bloom filter
+that drops other loans' payments before that shuffle.  Where AQE is off, or
+may not split, ``hot_loan_rows`` asks for a salted join instead
+(``joins.salted_join``).  A report over a creation span (the monthly cohorts)
+pre-sums per loan and key, below the same bloom filter.
 Listings are counted per loan first (``loan_weights``), so every counting
 join is one-to-one on the loan.  The detail form (``keys=None``) keeps one
 row per payment and listing, joined with the same salting.
@@ -34,15 +36,9 @@ from ..functions.status import status_columns
 from ..presets import THIRTY_DAY_PAYMENT_TYPES
 from ..sources.readers import LoanTables
 from .eligibility import due_payments, eligible_listings, open_loans
-from .joins import hot_keys, left_join_nullable, salted_join
+from .joins import hot_keys, left_join_nullable, salted_join, splittable_join
 
 FACT_KEYS = ("dtpayment", "multi_payment_number")
-# A loan with more due payments than this is dealt, in per-payment joins, into
-# buckets of about so many: one shuffle partition's worth of rows each.  Loans
-# that no listing makes eligible are counted too: leaving them out would take
-# the loan side's joins a second time (20 exchanges for 10), and a loan too
-# many on the list adds nothing but its replicas of no row.
-HOT_LOAN_ROWS = 1_000_000
 
 
 def payment_status(payments: DataFrame) -> DataFrame:
@@ -117,7 +113,7 @@ def payment_facts(
     created_between: tuple[dt.date | None, dt.date | None] = (None, None),
     due_between: tuple[dt.date | None, dt.date | None] = (None, None),
     with_country: bool = True,
-    hot_loan_rows: int = HOT_LOAN_ROWS,
+    hot_loan_rows: int | None = None,
 ) -> DataFrame:
     """Payment facts of the cohort analysis (W7).
 
@@ -128,11 +124,14 @@ def payment_facts(
     created_day, *keys, ontime, late, never`` with long counts: ``keys=[]``
     pre-sums the payments per loan before the join (one row per loan);
     ``keys`` naming ``dtpayment``/``multi_payment_number`` keep one row per
-    payment, joined with hot loans (more than ``hot_loan_rows`` due payments)
-    spread over tasks of about that many, unless ``created_between`` narrows the
-    loans: then payments are pre-summed per loan and key, so the runtime
-    bloom filter from the selective loan side prunes them in the scan.
-    Summing any form gives the same totals.
+    payment, unless ``created_between`` narrows the loans: then payments are
+    pre-summed per loan and key below the shuffle.  Summing any form gives the
+    same totals.
+
+    ``hot_loan_rows``: salt eligible loans with more due payments than this
+    over tasks of about that many.  They are counted by a second, narrow pass
+    over the payments.  By default nothing is counted and AQE splits what the
+    shuffle shows to be skewed.
 
     ``created_between=(lo, hi)`` keeps loans created on ``lo <= day < hi``
     (either bound may be None); it is applied to the loans before any join.
@@ -147,6 +146,9 @@ def payment_facts(
         loans = loans.where(created_day >= F.lit(lo))
     if hi is not None:
         loans = loans.where(created_day < F.lit(hi))
+    # True for every id.  Spark builds a runtime bloom filter only from a side
+    # whose scan has a comparison; a boolean column alone is none.
+    loans = loans.where(F.col("id") >= F.lit(-(2**63)))
     listings = eligible_listings(tables.listings, payment_types, exclude_refinanced,
                                  exclude_refinancing)
     users = tables.users if with_country else None
@@ -159,11 +161,18 @@ def payment_facts(
     country = ["country"] if with_country else []
     spread = ["id", "dtpayment", "multi_payment_number"]
     weights = loan_weights(loans, users, listings)
+
+    def joined_to_loans(rows: DataFrame) -> DataFrame:
+        if hot_loan_rows is None:
+            return splittable_join(rows, weights, "loan_id")
+        # Only eligible loans are listed: the others have nothing to meet.
+        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows, among=weights)
+        return salted_join(rows, weights, "loan_id", hot, spread)
+
     if keys is None:
-        # One row per loan enters the salted join; a loan's listings fan out
-        # after it, so the fan-out is never shuffled and never replicated.
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows)
-        facts = salted_join(payment_status(due), weights, "loan_id", hot, spread)
+        # One row per loan enters the join; a loan's listings fan out after
+        # it, so the fan-out is never shuffled and never replicated.
+        facts = joined_to_loans(payment_status(due))
         facts = facts.withColumn("_listing", F.explode(F.sequence(F.lit(1).cast("long"), F.col("listings"))))
         return facts.select("loan_id", *country, "created_day", "dtpayment",
                             "multi_payment_number", "ontime", "late", "never")
@@ -173,14 +182,12 @@ def payment_facts(
         raise ValueError(f"unknown fact keys {bad}; choose from {FACT_KEYS}")
     if keys and lo is None and hi is None:
         rows = due.select("loan_id", *dict.fromkeys([*keys, *spread]), *status_columns())
-        hot = hot_keys(due.select("loan_id"), "loan_id", hot_loan_rows)
-        joined = salted_join(rows, weights, "loan_id", hot, spread)
+        joined = joined_to_loans(rows)
     else:
         # Per-loan (and key) sums first.  With a creation span the loan side
-        # is selective, and this shape lets Spark's runtime bloom filter from
-        # it prune the payments in the scan, before the partial aggregate;
-        # the replication of a salted join would hide the loan side from
-        # that rule.  A loan's rows stay bounded by its distinct keys.
+        # is selective, and Spark's runtime bloom filter from it prunes the
+        # payments in the scan, before the partial aggregate.  A loan's rows
+        # stay bounded by its distinct keys.
         joined = loan_status_counts(due, keys).join(weights, "loan_id")
     n = F.col("listings")
     return joined.select(

@@ -17,7 +17,7 @@ rows hashed together again; ``key * 0`` is 0 for every key that can match
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "_null_spread"
@@ -30,8 +30,13 @@ def _salted(df: DataFrame, key: str, spread_on: list[str] | None) -> DataFrame:
     return df.withColumn(_SALT, F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("long"))
 
 
+def _constant(key: str):
+    # 0 for every key that can match; a literal would be folded away.
+    return (F.col(key) * 0).cast("long")
+
+
 def _zero(key: str):
-    return (F.col(key) * 0).cast("long").alias("_rs")
+    return _constant(key).alias("_rs")
 
 
 def anti_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -83,12 +88,30 @@ def hot_keys(df: DataFrame, key: str, target_rows: int, among: DataFrame | None
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > int(target_rows))
     if among is not None:
         counts = counts.join(among.select(key), key, "left_semi")
-    together = F.sum("_rows").over(Window.partitionBy())
+    # A plain aggregation: partial sums per task, one row in all, never a window
+    # over every counted key.
+    together = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_together")).scalar()
     target = F.greatest(F.lit(int(target_rows)), F.floor(together / HOT_KEY_BOUND))
     hot = counts.withColumn("_target", target).where(F.col("_rows") > F.col("_target"))
     return hot.select(key, F.ceil(F.col("_rows") / F.col("_target")).cast("int").alias("_buckets"))
 
 
+def splittable_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner equi-join of ``big`` and ``small`` on ``key`` that AQE may split.
+
+    AQE splits a skewed partition of a sort-merge join only where both sides
+    are plain shuffles.  A side that is already partitioned by ``key`` (an
+    aggregate or a join on it) gets no shuffle of its own and pins the whole
+    partition to one task.  A second key that is 0 for every row makes both
+    sides shuffle on (key, 0): the hot key's rows of ``big`` are then split
+    along its map outputs and its rows of ``small`` read by each part.
+    Nothing is counted beforehand and nothing replicated in the plan, so
+    Spark's runtime bloom filter from ``small`` can still reach ``big``'s scan.
+    """
+    return (big.withColumn("_one", _constant(key)).join(small.withColumn("_one", _constant(key)), [key, "_one"])
+            .drop("_one"))
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
     """Inner equi-join of ``big`` and ``small`` on ``key`` that splits hot keys.
 

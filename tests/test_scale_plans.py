@@ -81,20 +81,32 @@ def test_monthly_span_prunes_payments_before_the_shuffle(spark):
     assert scan_filter
 
 
+def test_loan_side_prunes_due_payments_before_the_shuffle(spark):
+    with conf(spark, {**AT_SCALE,
+                      "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+                      "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m"}):
+        text = plan_text(QUERIES["late_ratio_due"](spark, SF001), "simple")
+    assert [l for l in text.splitlines() if "might_contain" in l and "l_shipdate" in l]
+
+
+def test_hot_loans_are_counted_without_a_window_over_all_keys(spark):
+    text = plan_text(QUERIES["late_ratio_due_salted"](spark, SF001), "simple")
+    assert "Window [sum(_rows" not in text
+
+
 # Shuffles per query in the at-scale shape.  late_ratio_created: payments
 # (partial-summed, by loan), loans (by loan), listings (by id, for the anti
 # join), parent ids (partial distinct, by id), eligible listings (by loan),
 # daily counts (partial, by day), window blocks.  The payments, the largest
-# table, cross the network once.  Due-day series also cross it once, on
-# (loan, salt); they add the loan side re-keyed on (loan, salt) and the narrow
-# per-loan count that finds hot loans (listed under both join sides, run
-# once: the stage is reused).  The monthly report pre-sums per (loan,
+# table, cross the network once.  Due-day series also cross it once, and add
+# the loan side's own shuffle, without which AQE could not split a hot loan.
+# The monthly report pre-sums per (loan,
 # instalment) after a bloom-filtered scan.  Grouped series add the users
 # join; payback tables shuffle only partial aggregates.
 EXCHANGES = {
     "late_ratio_created": 7,
-    "late_ratio_due": 10,
-    "late_ratio_by_group_due": 12,
+    "late_ratio_due": 8,
+    "late_ratio_by_group_due": 10,
     "monthly_instalment_cohorts": 7,
     "daily_counts_all_payments": 1,
     "factor_payback_country": 1,

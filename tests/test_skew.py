@@ -64,27 +64,43 @@ def test_hot_user_partition_is_split(spark, skewed):
     assert "SortMergeJoin(skew=true)" in final and "LeftOuter" in final
 
 
-def test_hot_loan_is_spread_over_tasks(spark, skewed):
+def _tasks_of_hot_loan(spark, skewed, **kw):
     hot = (skewed.multi_payments.groupBy("loan_id").count()
            .orderBy(F.col("count").desc()).first()["loan_id"])
     with conf(spark, {**AT_SCALE, "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
-        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], hot_loan_rows=1000)
-        lines = plan_text(facts, "simple")
-        tasks = (facts.where(F.col("loan_id") == hot)
-                 .select(F.spark_partition_id().alias("p")).distinct().count())
-    assert re.search(r"SortMergeJoin \[loan_id#\d+L, _salt#\d+\]", lines)
-    assert tasks > 1  # without salting every row of the hot loan is in one task
+        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], **kw)
+        rows = facts.select("loan_id", F.spark_partition_id().alias("p")).collect()
+        return plan_text(facts, "simple"), len({r.p for r in rows if r.loan_id == hot})
 
 
-def test_hot_list_is_computed_once(spark, skewed):
+def test_hot_loan_is_split_by_aqe(spark, skewed):
+    plan, tasks = _tasks_of_hot_loan(spark, skewed)
+    assert "_salt" not in plan and tasks > 1
     with conf(spark, AT_SCALE):
-        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], with_country=False,
-                                 hot_loan_rows=1000)
+        facts = op.payment_facts(skewed, AS_OF, keys=["dtpayment"], with_country=False)
         assert len(facts.collect()) > 0  # runs this DataFrame's own adaptive plan
         final = plan_text(facts, "simple").split("Initial Plan")[0]
-    # the broadcast hot-loan list feeds both join sides from one computation
-    assert len(re.findall(r"Window \[sum\(_rows", final)) == 1
-    assert re.search(r"ReusedExchange \[loan_id#\d+L, _buckets#\d+\]", final)
+    assert re.search(r"SortMergeJoin\(skew=true\) \[loan_id#\d+L, _one#\d+L\]", final)
+
+
+def test_hot_loan_is_salted_where_asked(spark, skewed):
+    plan, tasks = _tasks_of_hot_loan(spark, skewed, hot_loan_rows=1000)
+    assert re.search(r"SortMergeJoin \[loan_id#\d+L, _salt#\d+\]", plan)
+    assert tasks > 1
+
+
+def test_only_eligible_loans_are_listed_as_hot(spark, skewed, monkeypatch):
+    """A hot loan without an eligible listing has nothing to meet: it is not dealt out."""
+    from loanlag.operators import facts
+
+    listed = []
+    monkeypatch.setattr(facts, "hot_keys", lambda *a, **kw: listed.append(hot_keys(*a, **kw)) or listed[-1])
+    loans = skewed.multi_payments.groupBy("loan_id").count().where("count > 1000")
+    assert loans.count() == 1
+    op.payment_facts(skewed, AS_OF, keys=["dtpayment"], hot_loan_rows=1000)
+    none = dataclasses.replace(skewed, listings=skewed.listings.where(F.lit(False)))
+    op.payment_facts(none, AS_OF, keys=["dtpayment"], hot_loan_rows=1000)
+    assert listed[0].count() == 1 and listed[1].count() == 0
 
 
 def test_every_hot_key_is_split_however_many(spark):
