@@ -114,6 +114,7 @@ def payment_facts(
     due_between: tuple[dt.date | None, dt.date | None] = (None, None),
     with_country: bool = True,
     hot_loan_rows: int | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Payment facts of the cohort analysis (W7).
 
@@ -131,7 +132,9 @@ def payment_facts(
     ``hot_loan_rows``: salt eligible loans with more due payments than this
     over tasks of about that many.  They are counted by a second, narrow pass
     over the payments.  By default nothing is counted and AQE splits what the
-    shuffle shows to be skewed.
+    shuffle shows to be skewed.  ``colocated``: the tables are stored by loan
+    (``sources.colocated``), so payments are joined where they lie, without a
+    shuffle to split.
 
     ``created_between=(lo, hi)`` keeps loans created on ``lo <= day < hi``
     (either bound may be None); it is applied to the loans before any join.
@@ -163,6 +166,8 @@ def payment_facts(
     weights = loan_weights(loans, users, listings)
 
     def joined_to_loans(rows: DataFrame) -> DataFrame:
+        if colocated:
+            return rows.join(weights, "loan_id")
         if hot_loan_rows is None:
             return splittable_join(rows, weights, "loan_id")
         # Only eligible loans are listed: the others have nothing to meet.

@@ -44,6 +44,29 @@ def factor_payback(reports: DataFrame, factor: str = "country") -> DataFrame:
     return _finish(grouped, factor)
 
 
+def all_factor_payback(reports: DataFrame, factors: Iterable[str] = FACTORS) -> DataFrame:
+    """``factor_payback`` of several factors from one scan: ``factor``,
+    ``value`` (as text), ``positive``, ``negative``, ``late_pct``.
+
+    Each report becomes one row per factor in memory; those are summed per
+    (factor, value) before the only shuffle.
+    """
+    factors = [f.lower() for f in factors]
+    unknown = [f for f in factors if f not in FACTORS]
+    if unknown or not factors:
+        raise ValueError(f"unknown factors {unknown}; choose from {FACTORS}")
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("value")) for f in factors])
+    # Reports with neither flag count nowhere.
+    flagged = reports.select(pairs.alias("pairs"), (F.col("repaid_loans") > 0).alias("repaid"), "is_late").where(
+        F.col("repaid") | F.col("is_late"))
+    grouped = flagged.select(F.explode("pairs").alias("pair"), "repaid", "is_late").groupBy(
+        F.col("pair.factor").alias("factor"), F.col("pair.value").alias("value")).agg(
+        count_true(F.col("repaid")).alias("positive"), count_true(F.col("is_late")).alias("negative"))
+    return grouped.where(F.col("positive") + F.col("negative") > 0).select(
+        "factor", "value", "positive", "negative",
+        percent("negative", F.col("negative") + F.col("positive")).alias("late_pct"))
+
+
 def exclude_values(table: DataFrame, values: Iterable = DEVELOPED_COUNTRIES,
                    column: str | None = None) -> DataFrame:
     """Drop rows whose ``column`` (default: the first) is one of ``values``.

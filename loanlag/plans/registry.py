@@ -14,10 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import (all_payments_daily, all_payments_late_ratio, behaviour_payback,
-                         daily_counts, due_payments, eligible_listings, exclude_values,
+from ..operators import (all_factor_payback, all_payments_daily, all_payments_late_ratio, behaviour_payback,
+                         cohort_positions, daily_counts, day_positions, due_payments, eligible_listings, exclude_values,
                          factor_payback, group_late_ratio, late_ratio, loan_borrowers,
-                         open_loans, payback_totals, payment_facts, payment_status)
+                         open_loans, payback_positions, payback_totals, payment_facts, payment_status)
 from ..presets import DEFAULT_GROUP, DEVELOPED_COUNTRIES, FACTORS
 from ..sources.fixture import NATION_CODES, load_fixture
 from .cohort import cohort_late_ratios, monthly_report
@@ -132,6 +132,16 @@ def _build_queries() -> dict[str, Query]:
     reg("payback_totals")(lambda t: payback_totals(factor_payback(t.credit_reports, "country")))
     reg("payback_totals_excluding")(
         lambda t: factor_report(t.credit_reports, "country", GROUP).totals)
+    reg("factor_payback_all")(lambda t: all_factor_payback(t.credit_reports))
+    # O1-O3: order shown as a column, as a set of rows has none.
+    reg("late_ratio_created_positions")(lambda t: day_positions(
+        late_ratio(_facts(t, [], with_country=False), "created_day", WINDOW, AS_OF)))
+    reg("late_ratio_by_group_positions")(lambda t: day_positions(
+        group_late_ratio(_facts(t, []), GROUP, True, "created_day", WINDOW, AS_OF)))
+    reg("monthly_cohort_positions")(
+        lambda t: cohort_positions(monthly_report(t, AS_OF, MONTHLY_START, MONTHLY_PERIODS)))
+    reg("factor_payback_country_positions")(
+        lambda t: payback_positions(factor_payback(t.credit_reports, "country")))
     reg("behaviour_payback_totals")(lambda t: behaviour_report(t.users, t.credit_reports).totals)
     return q
 
@@ -385,6 +395,19 @@ FROM (SELECT COUNT(*) FILTER (WHERE is_late AND {keep}) AS total_late,
       FROM credit_reports) t"""
 
 
+def _all_factors_sql() -> str:
+    each = "\nUNION ALL\n".join(
+        f"""SELECT '{f}' AS factor, CAST({f} AS VARCHAR) AS value, COUNT(*) FILTER (WHERE repaid_loans > 0) AS positive,
+       COUNT(*) FILTER (WHERE is_late) AS negative FROM credit_reports GROUP BY {f}""" for f in FACTORS)
+    return _with().rstrip(",\n") + f"""
+SELECT *, CAST(negative AS DOUBLE) * 100.0 / (negative + positive) AS late_pct
+FROM ({each}) a WHERE positive + negative > 0"""
+
+
+def _positions_sql(sql: str, order: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({sql}) p"
+
+
 def _behaviour_totals_sql() -> str:
     return _behaviour_rows_sql() + """
 SELECT total_late, total_not_late,
@@ -447,6 +470,11 @@ WHERE payment_type_id IN (4, 5, 6)
     s["payback_totals"] = _totals_sql()
     s["payback_totals_excluding"] = _totals_sql(_GROUP_SQL)
     s["payback_totals_geo_demerit_excluding"] = _totals_sql("1, 2", "geo_demerit")
+    s["factor_payback_all"] = _all_factors_sql()
+    s["late_ratio_created_positions"] = _positions_sql(s["late_ratio_created"], "day")
+    s["late_ratio_by_group_positions"] = _positions_sql(s["late_ratio_by_group_created"], "in_group, day")
+    s["monthly_cohort_positions"] = _positions_sql(s["monthly_instalment_cohorts"], "cohort_start, multi_payment_number")
+    s["factor_payback_country_positions"] = _positions_sql(s["factor_payback_country"], "late_pct, country NULLS FIRST")
     s["behaviour_payback_totals"] = _behaviour_totals_sql()
     return s
 

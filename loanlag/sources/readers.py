@@ -121,24 +121,49 @@ def jdbc_bounds_query(table: str, column: str = "id") -> str:
     return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
 
 
+def jdbc_quantile_query(table: str, num_partitions: int, column: str = "id") -> str:
+    """SQL run by the database to find where each of ``num_partitions`` equally
+    filled ranges begins: that many rows back, whatever the table's size."""
+    return (f"SELECT MIN({column}) AS lo FROM (SELECT {column}, NTILE({int(num_partitions)}) OVER (ORDER BY {column}) AS part "
+            f"FROM {table} WHERE {column} IS NOT NULL) ranked GROUP BY part ORDER BY lo")
+
+
+def range_predicates(starts: list[int], column: str = "id") -> list[str]:
+    """One WHERE clause a range; every row satisfies exactly one of them.
+
+    The first range is open below and takes nulls, the last is open above, so
+    rows that came after the starts were asked for are read too.
+    """
+    cuts = sorted(set(starts))[1:]
+    if not cuts:
+        return ["1 = 1"]
+    between = [f"{column} >= {lo} AND {column} < {hi}" for lo, hi in zip(cuts, cuts[1:])]
+    return [f"({column} < {cuts[0]} OR {column} IS NULL)", *between, f"{column} >= {cuts[-1]}"]
+
+
 def read_jdbc_table_split(spark: SparkSession, table: str, url: str, num_partitions: int,
                           column: str = "id", user: str | None = None,
-                          password: str | None = None, driver: str | None = None) -> DataFrame:
+                          password: str | None = None, driver: str | None = None,
+                          equal_width: bool = False) -> DataFrame:
     """Read one table over JDBC in ``num_partitions`` parallel range queries.
 
-    The bounds come from a MIN/MAX query the database answers (a single row
-    to the driver); rows outside them are still read by the first and last
-    range, so nothing is lost if the table grows meanwhile.
+    The database gives the starts of equally filled ranges
+    (``jdbc_quantile_query``), so a dense stretch of ids is split like any
+    other.  ``equal_width`` asks for MIN and MAX only and cuts the ids evenly
+    between them, for a database where ranking a table's ids costs too much.
+    Nothing is lost if the table grows meanwhile.
     """
-    base = {"url": url, "query": jdbc_bounds_query(table, column)}
-    for key, value in (("user", user), ("password", password), ("driver", driver)):
-        if value is not None:
-            base[key] = value
-    bounds = spark.read.format("jdbc").options(**base).load().first()
-    if bounds is None or bounds["lo"] is None:
+    access = {key: value for key, value in (("user", user), ("password", password), ("driver", driver)) if value is not None}
+    ask = jdbc_bounds_query(table, column) if equal_width else jdbc_quantile_query(table, num_partitions, column)
+    rows = spark.read.format("jdbc").options(url=url, query=ask, **access).load().collect()
+    if not equal_width:
+        starts = [int(row["lo"]) for row in rows]
+        return conform(spark.read.jdbc(url, table, predicates=range_predicates(starts, column),
+                                       properties={**access, "fetchsize": "10000"}), table)
+    if not rows or rows[0]["lo"] is None:
         opts = jdbc_options(url, table, user, password, driver=driver)
     else:
-        lo, hi = int(bounds["lo"]), int(bounds["hi"])
+        lo, hi = int(rows[0]["lo"]), int(rows[0]["hi"])
         opts = jdbc_options(url, table, user, password, partition_column=column,
                             lower_bound=lo, upper_bound=max(hi, lo + 1),
                             num_partitions=num_partitions, driver=driver)

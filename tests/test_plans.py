@@ -68,3 +68,21 @@ def test_listings_are_counted_per_loan_before_the_shuffle(tables):
     partial = [i for i, l in enumerate(lines)
                if re.search(r"HashAggregate\(keys=\[loan_id#\d+L\], functions=\[partial_count", l)]
     assert partial and "Exchange hashpartitioning(loan_id" in lines[partial[0] - 1]
+
+
+def test_all_factors_come_from_one_scan(spark):
+    from loanlag.operators import all_factor_payback, factor_payback
+    from loanlag.presets import FACTORS
+    from loanlag.plans import exchange_count
+    from loanlag.sources import load_fixture
+
+    reports = load_fixture(spark, SF001).credit_reports
+    table = all_factor_payback(reports)
+    # The fixture joins customers to nations, twice as rows; the table adds one exchange and no scan.
+    assert plan_text(table).count("Scan parquet") == plan_text(reports).count("Scan parquet")
+    assert exchange_count(table) == exchange_count(reports) + 1
+    rows = {(r.factor, r.value): (r.positive, r.negative) for r in table.collect()}
+    for factor in FACTORS:
+        each = {(factor, None if r[0] is None else str(r[0]).lower() if isinstance(r[0], bool) else str(r[0])): (r.positive, r.negative) for r in factor_payback(reports, factor).collect()}
+        assert each == {k: v for k, v in rows.items() if k[0] == factor}
+    assert {r.factor for r in all_factor_payback(reports, ["Gender"]).collect()} == {"gender"}

@@ -103,6 +103,29 @@ def test_only_eligible_loans_are_listed_as_hot(spark, skewed, monkeypatch):
     assert listed[0].count() == 1 and listed[1].count() == 0
 
 
+def test_hot_parent_is_split(spark, tables):
+    """A third of all listings name one known parent (J7), and one missing parent likewise."""
+    listings = tables.listings.repartition(8)
+    known = listings.agg(F.min("id")).first()[0]
+    for parent in (known, -5):
+        hot = listings.withColumn("parent_listing_id", F.when(F.col("id") % 3 == 0, F.lit(parent)).otherwise(F.col("parent_listing_id"))).repartition(8)
+        ask = dict(payment_types=None, exclude_refinanced=False, exclude_refinancing=True)
+        with conf(spark, {**AT_SCALE, "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+            kept = op.eligible_listings(hot, **ask)
+            rows = kept.select("id", "parent_listing_id", F.spark_partition_id().alias("p")).collect()
+            final = plan_text(kept, "simple")
+        ids = {r.id for r in hot.select("id").collect()}
+        expect = {r.id for r in hot.select("id", "parent_listing_id").collect() if r.parent_listing_id not in ids}
+        assert {r.id for r in rows} == expect
+        if parent == -5:
+            assert len({r.p for r in rows if r.parent_listing_id == -5}) > 1
+    with conf(spark, AT_SCALE):
+        kept = op.eligible_listings(hot, **ask)
+        assert len(kept.collect()) > 0
+        final = plan_text(kept, "simple").split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin\(skew=true\).*LeftAnti", final)
+
+
 def test_every_hot_key_is_split_however_many(spark):
     rows = spark.range(36_000).select((F.col("id") % 12_000).alias("k"), F.col("id").alias("i"))
     hot = hot_keys(rows, "k", 2)

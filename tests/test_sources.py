@@ -145,3 +145,57 @@ def test_jdbc_bounds_query():
     from loanlag.sources import jdbc_bounds_query
 
     assert jdbc_bounds_query("loans") == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM loans"
+
+
+def test_jdbc_quantiles_split_dense_ids_evenly():
+    """The database's side is plain SQL: run here by another engine."""
+    import duckdb
+
+    from loanlag.sources import jdbc_quantile_query, range_predicates
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE loans AS SELECT i AS id FROM range(9000) r(i) UNION ALL SELECT 1000000000 + i * 1000000 FROM range(1000) r(i) "
+                "UNION ALL SELECT NULL FROM range(5)")
+    starts = [r[0] for r in con.execute(jdbc_quantile_query("loans", 10)).fetchall()]
+    clauses = range_predicates(starts)
+    counts = [con.execute(f"SELECT count(*) FROM loans WHERE {c}").fetchone()[0] for c in clauses]
+    assert len(clauses) == 10 and sum(counts) == 10_005 and max(counts) == 1005
+    # Rows that came later, below and above all starts.
+    con.execute("INSERT INTO loans VALUES (-5), (10000000000000)")
+    assert sum(con.execute(f"SELECT count(*) FROM loans WHERE {c}").fetchone()[0] for c in clauses) == 10_007
+
+
+def test_range_predicates_of_few_ids():
+    from loanlag.sources import range_predicates
+
+    assert range_predicates([]) == range_predicates([7]) == range_predicates([7, 7]) == ["1 = 1"]
+    assert range_predicates([1, 4, 4, 9], "k") == ["(k < 4 OR k IS NULL)", "k >= 4 AND k < 9", "k >= 9"]
+
+
+def test_jdbc_reads_by_quantiles(spark, monkeypatch):
+    """What is asked of Spark's reader, with the database's answer put in."""
+    from loanlag.sources import readers
+
+    asked = {}
+
+    class Reader:
+        def format(self, kind):
+            return self
+
+        def options(self, **kw):
+            asked.update(kw)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(1,), (50,), (90,)], "lo long")
+
+        def jdbc(self, url, table, predicates, properties):
+            asked.update(url=url, table=table, predicates=predicates, properties=properties)
+            return spark.createDataFrame([], readers.SCHEMAS["loans"])
+
+    class Session:
+        read = Reader()
+
+    assert readers.read_jdbc_table_split(Session(), "loans", "jdbc:x", 3, user="u").columns == readers.SCHEMAS["loans"].names
+    assert "NTILE(3)" in asked["query"] and asked["user"] == asked["properties"]["user"] == "u"
+    assert asked["predicates"] == ["(id < 50 OR id IS NULL)", "id >= 50 AND id < 90", "id >= 90"]
