@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from collections.abc import Iterator
+
+import numpy as np
 
 #: Pieces that a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 150_000
-#: Longer pieces are not kept.
-CACHED_LENGTH = 64
-
-
-class ChunkCache:
-    """Maps pieces to their encodings; ``encode`` gets the pieces that are not known yet."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[Any]]):
-        self.encode, self.known = encode, {}
-
-    def look_up(self, documents: list[list[str]]) -> list[list[Any]]:
-        """The encodings of each document's pieces."""
-        missing = list({p for parts in documents for p in parts} - self.known.keys())
-        if missing:
-            self.known.update(zip(missing, self.encode(missing), strict=True))
-        found = [list(map(self.known.__getitem__, parts)) for parts in documents]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        else:
-            for p in missing:
-                if len(p) > CACHED_LENGTH:
-                    del self.known[p]
-        return found
+CACHE_PIECES = 250_000
+#: And characters of pieces, as some may be very long.
+CACHE_CHARACTERS = 8_000_000
+
+
+class Numbers(dict):
+    """Numbers pieces as they come; ``fresh`` lists those seen for the first time."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
+
+    def taken(self) -> list:
+        """The fresh ones, which are fresh no more."""
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+class Lists:
+    """Lists of integers, numbered as they come."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.sizes = (np.array([], dtype=np.int64) for _ in range(3))
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """More lists: their members one after the other, and how many each has."""
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The members of the lists of these numbers, and how many each has."""
+        n = self.sizes[which]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
 def runs(texts: list[str], limit: int = 500_000) -> Iterator[slice]:

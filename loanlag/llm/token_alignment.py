@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import runs
+from .chunk_cache import Numbers, runs
 from .common import materialize
-from .token_blocks import LONE_BLANK, Numbers
+from .token_blocks import LONE_BLANK
 from .tree_bpe import byte_symbols
 
 #: Pieces that a Python worker keeps; beyond it the cache starts anew.

@@ -23,7 +23,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import runs
+from .chunk_cache import Numbers, runs
 from .common import shared_folder, total_before
 
 BLOCK = 128
@@ -137,19 +136,6 @@ class Segment:
         return unpack(self.data, self.starts[first:last])[begin - first * BLOCK:end - first * BLOCK]
 
 
-class Numbers(dict):
-    """Numbers pieces as they come; ``fresh`` lists those seen for the first time."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list = []
-
-    def __missing__(self, piece) -> int:
-        self[piece] = n = len(self)
-        self.fresh.append(piece)
-        return n
-
-
 class LibraryEncoder:
     """Texts to ids as the tokenizers library encodes them, each different piece encoded once.
 
@@ -201,7 +187,7 @@ class LibraryEncoder:
         for at in range(0, len(fresh), 50_000):
             some = fresh[at:at + 50_000]
             edges = [p[0] if p.__class__ is tuple else p for p in some]
-            crowded = np.array([not p or p[0].isspace() or p[-1].isspace() for p in edges])
+            crowded = np.array([not p or p.strip() != p for p in edges])
             joined = ~crowded & np.array([p.__class__ is str and " " not in p for p in some])
             starts, sizes = np.empty(len(some), dtype=np.int64), np.empty(len(some), dtype=np.int64)
             alone = [p[0] if p.__class__ is tuple else " " + p for p, j in zip(some, joined, strict=True) if not j]
@@ -213,20 +199,21 @@ class LibraryEncoder:
             self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
             self.crowded = np.concatenate([self.crowded, crowded])
 
-    def number(self, parts: list[str]) -> list[int]:
-        return [self.numbers[(parts[0],)], *map(self.numbers.__getitem__, parts[1:])]
+    def number(self, parts: list) -> np.ndarray:
+        parts[0] = (parts[0],)
+        return np.fromiter(map(self.numbers.__getitem__, parts), dtype=np.int64, count=len(parts))
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
-        codes = [self.number(t.split(" ")) if t else [] for t in texts]
+        codes = [self.number(t.split(" ")) if t else np.array([], dtype=np.int64) for t in texts]
         self.learn()
-        which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
+        which = np.concatenate(codes)
         ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         crowded = np.unique(np.searchsorted(ends, np.flatnonzero(self.crowded[which]), side="right"))
         if len(crowded):
             for k in crowded.tolist():
                 codes[k] = self.number(LONE_BLANK.split(texts[k]))
             self.learn()
-            which = np.fromiter(chain.from_iterable(codes), dtype=np.int64)
+            which = np.concatenate(codes)
             ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         n = self.sizes[which]
         total = np.concatenate([[0], np.cumsum(n)])

@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, runs
+from . import chunk_cache
+from .chunk_cache import Lists, Numbers, runs
 
 NOTHING = np.iinfo(np.int64).max
 PLACE_BITS = 32
@@ -150,8 +152,14 @@ class WordEncoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of = {s: b for b, s in enumerate(byte_symbols())}
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.cache = ChunkCache(self.encode)
+        self.said_ids = pa.array([f"{i} " for i in range(size)], pa.large_binary())
+        self.said_tokens = pa.array([(self.library.id_to_token(i) or "") + " " for i in range(size)], pa.large_binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.words = Numbers(), Numbers()
+        self.of_piece, self.of_word = Lists(), Lists()
+        self.characters = 0
 
     def parts(self, piece: str) -> list[bytes | int]:
         """Words as bytes, and the ids of special tokens."""
@@ -166,23 +174,41 @@ class WordEncoder:
                 out += [bytes(self.bytes_of[c] for c in w) for w, _ in words]
         return out
 
-    def encode(self, pieces: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, the ids and the tokens (both joined by one blank) of each piece."""
-        split = [self.parts(p) for p in pieces]
-        words = list({w for parts in split for w in parts if isinstance(w, bytes)})
-        ids_of = dict(zip(words, map(np.ndarray.tolist, self.merges.words(words)), strict=True))
-        for parts in split:
-            ids = [i for w in parts for i in (ids_of[w] if isinstance(w, bytes) else (w,))]
-            yield len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+    def learn(self) -> None:
+        """Encodes the fresh pieces; of their words those that no piece before had."""
+        pieces = self.pieces.taken()
+        self.characters += sum(map(len, pieces))
+        numbered = [[self.words[w] for w in self.parts(p)] for p in pieces]
+        found = self.words.taken()
+        merged = iter(self.merges.words([w for w in found if isinstance(w, bytes)]))
+        each = [next(merged) if isinstance(w, bytes) else np.array([w]) for w in found]
+        self.of_word.add(np.concatenate([np.array([], dtype=np.int64), *each]), np.array([len(x) for x in each], dtype=np.int64))
+        ids, n = self.of_word.take(np.fromiter(chain.from_iterable(numbered), dtype=np.int64))
+        ends = np.cumsum([len(x) for x in numbered], dtype=np.int64)
+        self.of_piece.add(ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0))
 
     def documents(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """The same of whole texts.  White space is in no word, so texts are cut at blanks and line ends."""
-        cut = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
-        out = []
-        for found in self.cache.look_up(cut):
-            found = [x for x in found if x[0]]
-            out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
-        return out
+        """Number of ids, the ids and the tokens (both joined by one blank) of each text.
+
+        White space is in no word, so texts are cut at blanks and line ends.
+        """
+        codes = [list(map(self.pieces.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        self.learn()
+        ids, n = self.of_piece.take(np.fromiter(chain.from_iterable(codes), dtype=np.int64))
+        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, codes)])]
+        if len(self.pieces) > chunk_cache.CACHE_PIECES or self.characters > chunk_cache.CACHE_CHARACTERS:
+            self.forget()
+        return list(zip(np.diff(upto).tolist(), said(self.said_ids, ids, upto), said(self.said_tokens, ids, upto), strict=True))
+
+
+def said(names: pa.Array, ids: np.ndarray, upto: np.ndarray) -> list[str]:
+    """The names of the ids, each with a blank after it, in runs that end at ``upto``; without a run's last blank."""
+    if not len(ids):
+        return [""] * (len(upto) - 1)
+    taken = names.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)[upto].tolist()
+    data = taken.buffers()[2]
+    return [data[begin:max(begin, end - 1)].to_pybytes().decode() for begin, end in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
