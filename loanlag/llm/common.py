@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -28,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where that is unset (tests, a single machine) a temporary folder becomes
-    the context's checkpoint folder.
+    Where both are unset, a session that runs on this machine alone gets a
+    temporary one; a cluster's executors would each write to a folder of
+    their own, so there it is an error.
     """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at storage that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
@@ -62,6 +66,11 @@ def id_key(id_: Column) -> Column:
     return F.coalesce(id_, F.lit(-(2**63)))
 
 
+def by_all_columns(df: DataFrame) -> list[Column]:
+    """An order that tells all different rows apart; a map column cannot be ordered, its text can."""
+    return [F.col(c).cast("string") if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Join condition that lets null keys meet."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -28,8 +28,12 @@ def forest(pairs) -> list[tuple[int, int]]:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Each ``u``'s links with ``m``, the least of u and the nodes it links to."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    """Each ``u``'s links with ``m``, the least of u and the nodes it links to.
+
+    The least are written first, so that the join stands between two plain
+    shuffles and Spark may split a root's links.
+    """
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
     return edges.join(least, "u")
 
 

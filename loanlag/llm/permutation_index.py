@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best_ids, distinct_vectors, matrix, padded_ids, result_table, sample_vectors, search_blocks, usable
+from .vectors import best_ids, distinct_vectors, each_length, matrix, padded_ids, result_table, sample_vectors, search_blocks, usable
 
 #: Pivots are a sample of at most so many vectors.
 N_PIVOTS = 256
@@ -84,11 +84,16 @@ def search(
     to the smaller id; with fewer than ``k`` candidates found, the query has
     fewer rows.  Equal vectors are indexed once with their ``k + 1``
     smallest ids, which is all a query can return of them.  Rows that
-    ``vectors.usable`` leaves out (null, zero, non-finite) take no part.  An
-    empty table gives no rows.  Every row is indexed; only the pivots are a
-    sample.
+    ``vectors.usable`` leaves out (null, zero, non-finite) take no part.
+    Vectors of different lengths are no candidates for each other.  An empty
+    table gives no rows.  Every row is indexed; only the pivots are a sample.
     """
     rows = usable(vectors, id_col, vec_col, allow_zero=False)
+    return each_length(rows, lambda some: search_equal(some, is_query, k, n_pivots, prefix, rerank_share))
+
+
+def search_equal(rows: DataFrame, is_query, k: int, n_pivots: int, prefix: int, rerank_share: float) -> DataFrame:
+    """``search`` over vectors of one length."""
     pivots = sample_vectors(rows, n_pivots)[1]
     prefix = max(1, min(prefix, len(pivots)))
     pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True) if len(pivots) else pivots
@@ -99,6 +104,8 @@ def search(
     def kernel(block: pa.Table, asked: pa.Table) -> pa.Table:
         parts = []
         if block.num_rows and asked.num_rows:
+            # By smallest id, so that equal closeness is cut alike on every run.
+            block = block.take(np.argsort(padded_ids(block["ids"], k + 1)[:, 0], kind="stable"))
             x, ids = matrix(block["vec"]), padded_ids(block["ids"], k + 1)
             shard = Shard(matrix(block["near"], np.int16), len(pivots))
             norms = np.linalg.norm(x, axis=1)
@@ -106,9 +113,11 @@ def search(
             query_vecs = matrix(asked["vec"])
             for qid, q, near in zip(asked["query_id"].to_numpy(), query_vecs, matrix(asked["near"], np.int16), strict=True):
                 close = shard.closeness(near)
-                first = np.argpartition(-close, n_rerank - 1)[:n_rerank]
+                first = np.argsort(-close, kind="stable")[:n_rerank]
                 scores = (x[first] @ q) / (norms[first] * np.linalg.norm(q))
-                top = first[np.argsort(-scores, kind="stable")[: 4 * (k + 1)]]
+                # All that can be among the best, ties and what rounding may hide included.
+                need = min(k + 1, len(first))
+                top = first[scores >= np.partition(scores, -need)[-need] - 1e-9]
                 scores = (x[top] * q).sum(axis=1) / (norms[top] * np.linalg.norm(q))
                 parts.append((qid, *best_ids(scores, ids[top], qid, k)))
         return result_table(parts, pa.float64())

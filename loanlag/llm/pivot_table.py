@@ -16,25 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best_ids, distinct_vectors, matrix, padded_ids, result_table, sample_vectors, search_blocks, usable
+from .vectors import best_ids, distinct_vectors, each_length, matrix, padded_ids, result_table, sample_vectors, search_blocks, usable
 
 N_PIVOTS = 32
 #: Candidates evaluated at a time, in bound order.
 CHUNK = 512
-#: Components are kept within these limits.
-LIMIT = 2.0**31
 
 
 def quantized(vectors: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x), as doubles that hold the integers exactly; beyond ±2^31 it stays there."""
-    return np.clip(np.floor(scale * vectors), -LIMIT, LIMIT)
+    """floor(scale * x), as doubles, which hold these integers exactly."""
+    out = np.floor(scale * vectors)
+    if not np.isfinite(out).all():
+        raise OverflowError("a component is too large to be scaled")
+    return out
 
 
 def exact_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; doubles are used where they are exact."""
-    if float(np.abs(rows).max(initial=0)) * float(np.abs(query).sum()) < 2.0**53:
+    """Integer inner products; an error where one leaves a long.
+
+    Doubles are used where they are exact, longs where no sum can leave them,
+    and else Python's integers.
+    """
+    largest = float(np.abs(rows).max(initial=0)) * float(np.abs(query).sum())
+    if largest < 2.0**53:
         return (rows @ query).astype(np.int64)
-    return rows.astype(np.int64) @ query.astype(np.int64)
+    if largest < 2.0**62 and max(np.abs(rows).max(initial=0), np.abs(query).max(initial=0)) < 2.0**62:
+        return rows.astype(np.int64) @ query.astype(np.int64)
+    whole = [int(x) for x in query]
+    products = [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in rows]
+    if any(not -(2**63) <= p < 2**63 for p in products):
+        raise OverflowError("an inner product does not fit a long")
+    return np.array(products, dtype=np.int64)
 
 
 def pivot_distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -99,12 +111,18 @@ def search(
     ``is_query`` is a condition on the column ``vec_id``.  A row is no
     candidate for queries of its own id; identical rows count once; ties go
     to the smaller id; with fewer than ``k`` candidates all are returned.
-    Rows whose vector is null, empty, of another length than most, or holds
-    null or non-finite components take no part; zero vectors do.  An empty
-    table gives no rows.  The result is exact: the pivots are a bounded
-    sample, but they only order and end the search.
+    Rows whose vector is null, empty, or holds null or non-finite components
+    take no part; zero vectors do.  Vectors of different lengths are no
+    candidates for each other.  An empty table gives no rows.  The result is
+    exact: the pivots are a bounded sample, but they only order and end the
+    search.  A score that does not fit a long is an error.
     """
     rows = usable(vectors, id_col, vec_col, allow_zero=True)
+    return each_length(rows, lambda some: search_equal(some, is_query, k, scale, n_pivots))
+
+
+def search_equal(rows: DataFrame, is_query, k: int, scale: float, n_pivots: int) -> DataFrame:
+    """``search`` over vectors of one length."""
     pivot_ids, pivots = sample_vectors(rows, n_pivots)
     pivots = quantized(pivots, scale)
     reps = distinct_vectors(rows, k + 1)

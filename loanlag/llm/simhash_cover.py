@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, text_hash
+from .common import by_all_columns, id_key, materialize, text_hash
 from .graph import components, forest
 
 SEED = 42
@@ -196,12 +196,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, id_co
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id, null last, then of the smallest text hash."""
+    """One row of each component, with all its columns: that of the smallest id, null last, then of the smallest text hash, then the first by all columns."""
     found = near_duplicates(docs, shingle, threshold, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     winners = first.select(id_key(F.col("first.doc_id")).alias("__id"), F.col("first.text_hash").alias("__hash"))
     rows = docs.withColumn("__id", id_key(F.col(id_col).cast("long"))).withColumn("__hash", text_hash(F.col(text_col)))
-    same = Window.partitionBy("__id", "__hash").orderBy("__id")
+    same = Window.partitionBy("__id", "__hash").orderBy(*by_all_columns(docs))
     kept = rows.join(winners, ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
     return kept.select(*docs.columns)
 

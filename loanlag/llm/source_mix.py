@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, text_hash, total_before
+from .common import by_all_columns, id_key, materialize, text_hash, total_before
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block.
@@ -79,7 +79,9 @@ def schedule(per_source: DataFrame) -> DataFrame:
     ahead = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     bounds = per_source.where(F.col("slots") > 0).select(
         "src", F.ceil(F.coalesce(F.sum("slots").over(ahead), F.lit(0)) / F.lit(max(n, 1)) * POINTS).cast("long").alias("u"))
-    points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % POINTS) * STEP % POINTS).alias("u"))
+    # Both halves of the number by themselves: no product leaves a long.
+    low, high = F.col("id") % 2**16, F.shiftright(F.col("id") % POINTS, 16)
+    points = spark.range(n).select(F.col("id").alias("slot"), ((high * STEP % POINTS * 2**16 + low * STEP) % POINTS).alias("u"))
     # The source of a point is the last one whose part begins at or before it.
     nth = bounds.select((F.row_number().over(Window.orderBy("src")) - 1).cast("long").alias("nth"), "src")
     marks = bounds.select(F.lit(None).cast("long").alias("slot"), "u", F.lit(1).cast("long").alias("one")).unionByName(
@@ -135,12 +137,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix, with all their columns: a row stands as often as it is taken whole, and once more, cut, for the rest.
 
-    What is taken of rows of equal id and text is added up.
+    What is taken of rows of equal id, text and source is added up and goes
+    to one of them, the first by all their columns.
     """
-    taken = mix(docs, id_col, text_col, source_col).groupBy(id_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), "size").agg(F.sum("taken").alias("__taken"))
-    rows = docs.withColumn("__id", id_key(F.col(id_col).cast("long"))).withColumn("__hash", text_hash(F.col(text_col)))
-    same = Window.partitionBy("__id", "__hash").orderBy("__id")
-    rows = rows.join(taken.where("__taken > 0").withColumnRenamed("size", "__size"), ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    taken = mix(docs, id_col, text_col, source_col).groupBy(
+        id_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), F.xxhash64("source").alias("__source"), "size").agg(F.sum("taken").alias("__taken"))
+    keys = ["__id", "__hash", "__source"]
+    rows = docs.withColumns({"__id": id_key(F.col(id_col).cast("long")), "__hash": text_hash(F.col(text_col)), "__source": F.xxhash64(F.col(source_col).cast("string"))})
+    same = Window.partitionBy(*keys).orderBy(*by_all_columns(docs))
+    rows = rows.join(taken.where("__taken > 0").withColumnRenamed("size", "__size"), keys).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
     whole, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
     copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     first_words = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), rest.cast("int")), "")

@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int, group: int = GROUP, reach: int
     live = materialize(all_strips.join(several, "key"))
     first = F.min(F.struct("doc_id", "text_hash", "anchor", "lo", "hi")).alias("at")
     classes = materialize(live.groupBy("key", "strip").agg(F.count("*").alias("n"), first))
-    mixed = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("key")
+    mixed = materialize(classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1").select("key"))
     wanted = classes.join(mixed, "key").select("key", "strip", "n", "at.*")
     per_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "strip", "n", "anchor", "lo", "hi")).alias("wanted"))
     bytes_of = docs.withColumn("bytes", F.col("text").cast("binary")).drop("text")
@@ -349,6 +349,12 @@ def remove_repeats(
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``remove_repeats``'s rows."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of ``remove_repeats``'s rows.
+
+    ``text`` is what is kept; bytes of a character that was removed in part
+    are replaced there (U+FFFD), while the digest is that of the bytes.
+    """
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["first"])
-    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -204,16 +204,17 @@ class LibraryEncoder:
         return np.fromiter(map(self.numbers.__getitem__, parts), dtype=np.int64, count=len(parts))
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
-        codes = [self.number(t.split(" ")) if t else np.array([], dtype=np.int64) for t in texts]
+        nothing = np.array([], dtype=np.int64)
+        codes = [self.number(t.split(" ")) if t else nothing for t in texts]
         self.learn()
-        which = np.concatenate(codes)
+        which = np.concatenate([nothing, *codes])
         ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         crowded = np.unique(np.searchsorted(ends, np.flatnonzero(self.crowded[which]), side="right"))
         if len(crowded):
             for k in crowded.tolist():
                 codes[k] = self.number(LONE_BLANK.split(texts[k]))
             self.learn()
-            which = np.concatenate(codes)
+            which = np.concatenate([nothing, *codes])
             ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
         n = self.sizes[which]
         total = np.concatenate([[0], np.cumsum(n)])

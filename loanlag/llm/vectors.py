@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,21 @@ def usable(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFr
     """(vec_id long, vec array<double>): the rows that take part, identical rows once.
 
     Left out: null ids and vectors, vectors that hold null or non-finite
-    components, empty ones, all-zero ones unless ``allow_zero``, and vectors
-    whose length differs from the table's most common length.
+    components, empty ones, and all-zero ones unless ``allow_zero``.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("vec") > 0)).where(~bad)
     if not allow_zero:
         rows = rows.where(F.exists("vec", lambda x: x != 0))
-    common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (common["n"] if common else 0)).distinct()
+    return rows.distinct()
+
+
+def each_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over the vectors of each length by themselves: between lengths there is no measure."""
+    lengths = sorted(r["n"] for r in rows.select(F.size("vec").alias("n")).distinct().collect()) or [0]
+    found = [search(rows.where(F.size("vec") == n)) for n in lengths]
+    return reduce(DataFrame.unionByName, found)
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:

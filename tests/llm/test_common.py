@@ -1,12 +1,13 @@
 """Shared helpers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loanlag.llm import common
 
 
 class Context:
-    folder = None
+    folder, master = None, "local[2]"
 
     def getCheckpointDir(self):
         return self.folder
@@ -43,3 +44,12 @@ def test_tables_are_written_to_the_folder(spark):
     df = common.materialize(spark.range(5).withColumn("x", F.col("id") * 2))
     assert sorted(r.x for r in df.collect()) == [0, 2, 4, 6, 8]
     assert all(common.shared_folder(spark).removeprefix("file:") in f for f in df.inputFiles())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        session = Session(None)
+        session.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            common.shared_folder(session)
+        assert session.sparkContext.folder is None

@@ -56,13 +56,6 @@ def test_one_of_each_group(steps):
     assert len(steps[2]) == len({c for _, _, c in groups})
 
 
-def test_repeats_are_gone(steps):
-    lengths = {d: n - gone for d, n, gone, _, _ in brute([(r.doc_id, r.text) for r in steps[2]], 400)}
-    assert {r.doc_id for r in steps[3]} == set(lengths)
-    for r in steps[3]:
-        assert lengths[r.doc_id] <= len(r.text.encode()) <= lengths[r.doc_id] + 60 and r.n_chars == len(r.text)
-
-
 def test_repeats_of_the_stage_length_are_gone(steps):
     lengths = {d: n - gone for d, n, gone, _, _ in brute([(r.doc_id, r.text) for r in steps[2]], corpus_pipeline.REPEAT_BYTES)}
     assert {r.doc_id for r in steps[3]} == set(lengths)

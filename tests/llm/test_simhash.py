@@ -109,3 +109,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_rows_of_equal_id_and_text_leave_the_same_one(spark):
+    text = "one two three four five six"
+    rows = [(1, text, "en", "b"), (1, text, "de", "a"), (1, text, None, "c"), (2, text, "en", "a")]
+    kept = {tuple(simhash_cover.one_of_each(docs_of(spark, r).repartition(k)).select("doc_id", "lang", "source").first()) for r in (rows, rows[::-1]) for k in (1, 3)}
+    assert kept == {(1, None, "c")}

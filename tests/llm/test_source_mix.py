@@ -85,3 +85,28 @@ def test_mixed_rows_hold_the_words_taken(spark):
     for r in out.collect():
         got[r.doc_id] += len(WORD.findall(r.text))
     assert got == +want
+
+
+def test_rows_of_equal_id_and_text_keep_their_sources(spark):
+    """Words per source are those of the mix, whichever way the rows come in."""
+    text = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, text, "en", "a"), (1, text, "en", "b"), (1, text, "de", "b"), (1, text, "en", None), (2, text + " x", "en", "b"), (None, text, "en", "a"), (None, text, "en", "a")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        docs = docs_of(spark, order).repartition(3)
+        wanted, got = {}, {}
+        for r in source_mix.mix(docs).collect():
+            wanted[r.source] = wanted.get(r.source, 0) + r.taken
+        out = source_mix.mixed(docs).select("doc_id", "text", "lang", "source").collect()
+        for r in out:
+            got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        assert got == {k: v for k, v in wanted.items() if v}
+        seen.add(tuple(sorted(map(str, out))))
+    assert len(seen) == 1
+
+
+def test_points_do_not_overflow(spark):
+    ids = [0, 1, 2**31, 2**32 - 1, 2**32, 3_474_701_534, 2**40 + 12345]
+    low, high = "id % 65536", "shiftright(id % 4294967296, 16)"
+    got = spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(f"(({high}) * {source_mix.STEP} % 4294967296 * 65536 + ({low}) * {source_mix.STEP}) % 4294967296 u").collect()
+    assert [r.u for r in got] == [i * source_mix.STEP % 2**32 for i in ids]

@@ -41,7 +41,15 @@ def brute(rows, length):
 
 
 def run(df, **more):
-    return sorted((tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(df, **more)).collect()), key=str)
+    """The digests, after a look at the text beside them."""
+    return checked(suffix_dedup.digests(suffix_dedup.remove_repeats(df, **more)).collect())
+
+
+def checked(rows):
+    for r in rows:
+        if "\ufffd" not in r.text:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and len(r.text.encode()) == r.n_bytes - r.n_removed
+    return sorted((tuple(r)[:5] for r in rows), key=str)
 
 
 def repeats(seed=1):
@@ -58,7 +66,7 @@ def repeats(seed=1):
 
 def test_given_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted((tuple(r) for r in queries.op7_suffix_dedup(spark, SF0001).collect()), key=str) == brute(rows, 400)
+    assert checked(queries.op7_suffix_dedup(spark, SF0001).collect()) == brute(rows, 400)
 
 
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])

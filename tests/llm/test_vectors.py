@@ -108,3 +108,30 @@ def test_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 3)
     got = sorted(tuple(r) for r in queries.op2_pivot_table(spark, SF001).collect())
     assert got == brute(given(spark), lambda i: i % 50 == 0, product)
+
+
+def test_all_ties_are_compared_by_id(spark):
+    """More equal cosines than any list of best rows holds."""
+    rows = [(i, [float(2 ** (i % 7)), 0.0, 0.0]) for i in range(101)]
+    got = permutation_index.search(table(spark, rows).repartition(5), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i, 1.0) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("search,score", [(permutation_index.search, cosine), (pivot_table.search, product)])
+def test_lengths_are_searched_apart(spark, search, score):
+    two, three = [(i, [1.0 + i, 2.0]) for i in range(0, 60, 10)], [(i, [1.0, 2.0 - i, 0.5]) for i in range(5, 160, 5)]
+    got = sorted(tuple(r) for r in search(table(spark, two + three), EVERY_50TH).collect())
+    want = sorted(brute(two, lambda i: i % 50 == 0, score) + brute(three, lambda i: i % 50 == 0, score))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+
+
+def test_products_are_exact_beyond_doubles(spark):
+    big = 2.0**22
+    rows = [(0, [big, big + 0.25, 1.0]), (1, [big, big, 3.0]), (2, [big + 1, big - 1, 2.0]), (3, [-big, 2.0**23, 0.0])]
+    exact = lambda a, b: sum(int(np.floor(256 * x)) * int(np.floor(256 * y)) for x, y in zip(a, b))
+    got = sorted(tuple(r) for r in pivot_table.search(table(spark, rows), EVERY_50TH).collect())
+    assert got == brute(rows, lambda i: i % 50 == 0, exact)
+    assert pivot_table.exact_products(np.array([[2.0**40, -(2.0**40)]]), np.array([2.0**30, 2.0**30 - 1])).tolist() == [2**40]
+    for fails in (lambda: pivot_table.exact_products(np.array([[2.0**40]]), np.array([2.0**30])), lambda: pivot_table.quantized(np.array([1e308]), 256.0)):
+        with pytest.raises(OverflowError):
+            fails()
