@@ -82,26 +82,31 @@ def assign(docs: DataFrame, shards: list[Shard], grown: list[Shard], id_col: str
 
     ``shard`` is drawn from ``shards``, ``grown_shard`` from ``grown``; both
     depend on the id alone (rows of a null id go together).  ``slot`` counts
-    a shard's rows from 0 without gaps, in the order of the ids' hashes;
-    rows of one id follow each other.  ``size`` is the text's UTF-8 bytes
+    a shard's rows from 0 without gaps, in the order of hashes of id and
+    text, so that rows of one id, null ids too, are counted by many tasks.  ``size`` is the text's UTF-8 bytes
     plus 8, ``text_crc32`` the CRC-32 of those bytes; a null text counts as
     no bytes.  Repeated rows each get a slot.  An empty table gives no rows.
     Other columns are not read.
     """
+    rows = drawn(docs, shards, grown, id_col, text_col)
+    slots = total_before(rows, ["shard"], "__bucket", ["__order", "doc_id", "text_crc32"], "__one", "slot")
+    return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def drawn(docs: DataFrame, shards: list[Shard], grown: list[Shard], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's shards, its place in the order of hashes and the part of that order it is counted in."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     bytes_of = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.length(bytes_of) + F.lit(8)).cast("long").alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
         F.lit("key").alias("law"),
         descend(key, shards).alias("shard"),
         descend(key, grown).alias("grown_shard"),
-        F.md5(key).alias("__order"),
+        F.md5(F.concat_ws("|", key, F.crc32(bytes_of).cast("string"))).alias("__order"),
         F.lit(1).cast("long").alias("__one"),
     ).withColumn("__bucket", F.substring("__order", 1, 3))
-    slots = total_before(rows, ["shard"], "__bucket", ["__order", "text_crc32"], "__one", "slot")
-    return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def oracle(shards: list[Shard], grown: list[Shard], table: str = "documents") -> str:
@@ -131,5 +136,5 @@ sized AS (SELECT doc_id, k, octet_length(b) + 8 AS size,
 {tree(shards, 'now')},
 {tree(grown, 'later')}
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, now.shard AS shard,
-  row_number() OVER (PARTITION BY now.shard ORDER BY md5(k), text_crc32) - 1 AS slot, later.shard AS grown_shard
+  row_number() OVER (PARTITION BY now.shard ORDER BY md5(k || '|' || text_crc32), doc_id NULLS FIRST, text_crc32) - 1 AS slot, later.shard AS grown_shard
 FROM sized JOIN now USING (k) JOIN later USING (k)"""

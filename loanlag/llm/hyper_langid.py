@@ -24,8 +24,8 @@ SAMPLE_PER_LANGUAGE = 2000
 KNOWN_TRIGRAMS = 32_000
 #: Unit vectors are summed as integers of this scale, so that the sums do not depend on the order.
 SCALE = 1 << 20
-#: With more languages than this their limits are joined by a shuffle.
-BROADCAST_LANGUAGES = 10_000
+#: Languages at most: their prototypes go through the driver and to every task, 8 KB each.  ISO 639-3 names fewer than 8,000.
+MAX_LANGUAGES = 10_000
 #: The cosine of a text with a language it has nothing of deviates from 0 by 1/sqrt(dimensions); up to so many deviations are noise.
 NOISE = 5
 #: Trigrams from which on a text of a learned language clears all of the noise bound; with fewer the bound falls with their square.
@@ -116,16 +116,19 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototypes by language, at unit length, from a sample of at most ``per_language`` different texts of each.
 
-    Rows without text or language teach nothing.  The driver gets one vector
-    for each language and task.
+    Rows without text or language teach nothing.  The tasks' sums are added
+    up by language before the driver gets one vector of each.  More than
+    ``MAX_LANGUAGES`` different values of ``lang_col`` are refused with a
+    ValueError.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("hash")
     limits = rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("hash").alias("limit"))
+    if limits.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGUAGES} different values")
     # One row a language: sent to every task, so that the texts are not shuffled by language.
-    few = limits.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    sample = rows.join(F.broadcast(limits) if few else limits, "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
+    sample = rows.join(F.broadcast(limits), "lang").where("hash <= limit").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, totals = Space(dimensions), {}
@@ -136,9 +139,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
                     totals[lang] = totals.get(lang, 0) + np.rint(vector * SCALE).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([t.tolist() for t in totals.values()], pa.list_(pa.int64()))], names=["lang", "total"])
 
-    totals: dict[str, np.ndarray] = {}
-    for lang, total in sample.mapInArrow(sums, "lang string, total array<long>").collect():
-        totals[lang] = totals.get(lang, 0) + np.array(total, dtype=np.int64)
+    parts = sample.mapInArrow(sums, "lang string, total array<long>").select("lang", F.posexplode("total").alias("at", "x"))
+    added = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("total"))
+    totals = {r.lang: np.array(r.total, dtype=np.int64) for r in added.select("lang", F.col("total.x").alias("total")).collect()}
     return {lang: t / max(np.linalg.norm(t), 1.0) for lang, t in sorted(totals.items())}
 
 
@@ -182,7 +185,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     A null id counts as not held out, but teaches nothing.  Repeated rows
     each have a result; equal texts teach once; an empty table gives no
-    rows.  Other columns are not read.
+    rows.  More than ``MAX_LANGUAGES`` languages are refused.  Other columns
+    are not read.
     """
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
     prototypes = learn(known, text_col, lang_col, per_language)

@@ -11,6 +11,7 @@ nothing.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases that are always looked for, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 BASE_SCORE = 0.8
+#: Matches of a rule whose places are summed up together.
+BLOCK_MATCHES = 64
 
 
 @dataclass(frozen=True)
@@ -142,7 +145,101 @@ SIGNATURES = (
     Rule("proprietary", "rights", "all rights reserved", 0.6),
     Rule("proprietary", "confidential", "proprietary and confidential", 0.8),
     Rule("no-derivatives", "reproduced", "no part of this (?:publication|work|document) may be reproduced", 0.8),
+    Rule("mit", "deal", "to deal in the software without restriction including without limitation the rights to use", 0.9),
+    Rule("x11", "consortium", "the name of the x consortium shall not be used in advertising", 0.9),
+    Rule("isc", "fee", "for any purpose with or without fee is hereby granted provided that the above copyright notice", 0.8),
+    Rule("ncsa", "deal", "to deal with the software without restriction including without limitation the rights to use", 0.9),
+    Rule("bsd", "retain", "redistributions of source code must retain the above copyright notice", 0.85),
+    Rule("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice", 0.85),
+    Rule("bsd-3-clause", "contributors", "neither the name of the copyright holder nor the names of its contributors", 0.9),
+    Rule("bsd-4-clause", "berkeley", "this product includes software developed by the university of california berkeley and its contributors", 0.95),
+    Rule("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license", 0.95, True),
+    Rule("apache-1", "includes", "this product includes software developed by the apache (?:software foundation|group)", 0.85),
+    Rule("apache-2", "writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.85, True),
+    Rule("apache-2", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements", 0.95, True),
+    Rule("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.7, True),
+    Rule("gpl-2", "prominent", "you must cause the modified files to carry prominent notices stating that you changed the files", 0.85),
+    Rule("gpl-3", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works", 0.95, True),
+    Rule("gpl-3", "convey", "you may convey verbatim copies of the program s source code as you receive it", 0.85),
+    Rule("lgpl", "lesser", "(?:you can redistribute it and or modify it under the terms|you should have received a copy) of the gnu lesser general public license", 0.95, True),
+    Rule("lgpl-2", "library", "(?:you can redistribute it and or modify it under the terms|you should have received a copy) of the gnu library general public license", 0.95, True),
+    Rule("lgpl-2.1", "designated", "the lesser general public license applies to some specially designated software packages typically libraries", 0.95, True),
+    Rule("lgpl-2.1", "reverse", "permit modification of the work for the customer s own use and reverse engineering for debugging such modifications", 0.85),
+    Rule("lgpl-3", "supplemented", "version 3 of the gnu general public license supplemented by the additional permissions listed below", 0.95, True),
+    Rule("agpl", "affero", "(?:you can redistribute it and or modify it under the terms|you should have received a copy) of the gnu affero general public license", 0.95, True),
+    Rule("agpl-3", "copyleft", "the gnu affero general public license is a free copyleft license for software and other kinds of works", 0.95, True),
+    Rule("agpl-3", "interacting", "must prominently offer all users interacting with it remotely through a computer network", 0.95),
+    Rule("gfdl", "documentation", "copy distribute and or modify this document under the terms of the gnu free documentation license", 0.95, True),
+    Rule("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts", 0.9),
+    Rule("mpl-1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 [01]", 0.95, True),
+    Rule("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.95, True),
+    Rule("mpl-2", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 0.9),
+    Rule("mpl-2", "secondary", "this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2 0", 0.95, True),
+    Rule("epl-1", "eclipse", "made available under the terms of the eclipse public license v(?:ersion )?1 0", 0.95, True),
+    Rule("epl-2", "eclipse", "made available under the terms of the eclipse public license (?:v |v|version )?2 0", 0.95, True),
+    Rule("epl-1", "eclipse", "www eclipse org legal epl v10(?: html)?", 0.9),
+    Rule("epl-2", "eclipse", "www eclipse org legal epl (?:2 0|v20)(?: html)?", 0.9),
+    Rule("eupl", "eupl", "licensed under the eupl(?: version)?(?: 1 [12])?", 0.95, True),
+    Rule("cddl", "development", "the contents of this file are subject to the terms of the common development and distribution license", 0.95, True),
+    Rule("cddl", "opensolaris", "you can obtain a copy of the license at usr src opensolaris license", 0.95, True),
+    Rule("cddl", "cddl", "when distributing covered code include this cddl header in each file", 0.95),
+    Rule("artistic-1", "semblance", "such that the copyright holder maintains some semblance of artistic control over the development of the package", 0.95),
+    Rule("artistic-2", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 0.95, True),
+    Rule("perl", "perl", "under the same terms as perl itself", 0.9),
+    Rule("ofl-1.1", "font", "this font software is licensed under the sil open font license", 0.95, True),
+    Rule("ofl-1.1", "sold", "neither the font software nor any of its individual components in original or modified versions may be sold by itself", 0.95),
+    Rule("ofl-1.1", "fonts", "the fonts and derivatives however cannot be released under any other type of license", 0.95, True),
+    Rule("bsl-1", "organization", "granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.95, True),
+    Rule("busl-1.1", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 0.95, True),
+    Rule("busl-1.1", "anniversary", "effective on the change date or the fourth anniversary of the first publicly available distribution", 0.95),
+    Rule("sspl-1", "functionality", "if you make the functionality of the program or a modified version available to third parties as a service", 0.95),
+    Rule("elastic-2", "hosted", "you may not provide the software to third parties as a hosted or managed service", 0.95),
+    Rule("elastic-2", "circumvent", "you may not move change disable or circumvent the license key functionality in the software", 0.95, True),
+    Rule("commons-clause", "sell", "the license does not grant to you the right to sell the software", 0.95, True),
+    Rule("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software", 0.95),
+    Rule("unlicense", "unlicense", "please refer to http(?:s)? unlicense org", 0.9),
+    Rule("wtfpl", "fuck", "you just do what the fuck you want to", 0.9),
+    Rule("zlib", "held", "in no event will the authors be held liable for any damages arising from the use of this software", 0.85),
+    Rule("zlib", "altered", "this notice may not be removed or altered from any source distribution", 0.9),
+    Rule("python-2", "psf", "the python software foundation psf and the individual or organization licensee", 0.95, True),
+    Rule("php-3", "php", "this product includes php software freely available from", 0.95),
+    Rule("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 0.95),
+    Rule("ssleay", "cryptographic", "this product includes cryptographic software written by eric young", 0.95),
+    Rule("postgresql", "california", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages", 0.85),
+    Rule("odbl", "contents", "any rights in individual contents of the database are licensed under the database contents license", 0.95, True),
+    Rule("ms-pl", "portion", "if you distribute any portion of the software in source code form you may do so only under this license", 0.8, True),
+    Rule("ms-rl", "reciprocal", "reciprocal grants for any file you distribute that contains code from the software", 0.95),
+    Rule("upl-1", "collectively", "obtaining a copy of this software associated documentation and or data collectively the software", 0.95),
+    Rule("blueoak-1", "liability", "this license gives everyone as much permission to work with this software as possible while protecting contributors from liability", 0.95, True),
+    Rule("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", 0.95),
+    Rule("json", "evil", "the software shall be used for good not evil", 0.95),
+    Rule("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group", 0.9),
+    Rule("ftl", "freetype", "the freetype project licen[cs]e", 0.85, True),
+    Rule("cecill", "cecill", "cecill(?: [bc])?(?: free software)? licen[cs]e(?: agreement)?", 0.85, True),
+    Rule("openrail", "openrail", "(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?", 0.8),
+    Rule("llama", "llama", "llama [234](?: [0-9])? community licen[cs]e(?: agreement)?", 0.9, True),
+    Rule("cc-by", "credit", "you must give appropriate credit provide a link to the license and indicate if changes were made", 0.8, True),
+    Rule("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", 0.85, True),
+    Rule("cc-by-nd", "remix", "if you remix transform or build upon the material you may not distribute the modified material", 0.85),
+    Rule("cc-by-nc", "commercial", "you may not use the material for commercial purposes", 0.8),
+    Rule("cc0-1", "waived", "waived all copyright and related or neighboring rights", 0.9),
+    Rule("cc0-1", "deed", "the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
+    Rule("cc0-1", "creativecommons", "creativecommons org publicdomain zero 1 0", 0.95),
+    Rule("cc-by", "creativecommons", "creativecommons org licenses by [1234] [0-9]", 0.95, True),
+    Rule("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1234] [0-9]", 0.95, True),
+    Rule("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1234] [0-9]", 0.95, True),
+    Rule("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1234] [0-9]", 0.95, True),
+    Rule("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1234] [0-9]", 0.95, True),
+    Rule("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1234] [0-9]", 0.95, True),
+    Rule("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document)", 0.9),
+    Rule("proprietary", "confidential", "this software is the confidential and proprietary information of", 0.95),
+    Rule("proprietary", "internal", "for internal use only", 0.6),
     Rule("", "mit", "not (?:licensed )?under the mit licen[cs]e", 0.0, True),
+    Rule("", "general", "not (?:licensed |released |distributed )?under the (?:gnu )?(?:lesser |affero )?general public licen[cs]e", 0.0, True),
+    Rule("", "apache", "not (?:licensed |released |distributed )?under the apache licen[cs]e", 0.0, True),
+    Rule("", "bsd", "not (?:licensed |released |distributed )?under the bsd licen[cs]e", 0.0, True),
+    Rule("", "gpl", "(?:not|formerly|previously|no longer) (?:licensed |released |distributed )?under the (?:gnu )?gpl", 0.0),
+    Rule("", "incompatible", "incompatible with (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e|apache licen[cs]e)", 0.0),
     Rule("", "compatible", "compatible with (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e)", 0.0),
     Rule("", "unlike", "unlike (?:the )?(?:gnu )?(?:gpl|general public licen[cs]e|mit licen[cs]e|apache licen[cs]e)", 0.0),
 )
@@ -174,6 +271,11 @@ def spaced(regex: str) -> str:
     return " " + regex.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text whose words stand between two blanks of their own."""
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / 2).cast("long")
@@ -228,17 +330,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         """(start, -end, priority, label, score) of a rule's matches."""
         hits = F.regexp_extract_all("t", rule["regex"], F.lit(0))
         gaps = F.split("t", rule["regex"], -1)
-        empty = F.array().cast("array<struct<start:bigint,minus_end:bigint,priority:int,label:string,score:double>>")
-
-        def add(state: Column, x: Column) -> Column:
-            start = state["at"] + words_in(x["gap"])
-            end = start + words_in(x["hit"])
-            one = F.struct(start.alias("start"), (-end).alias("minus_end"), rule["priority"].alias("priority"),
-                           rule["label"].alias("label"), rule["score"].alias("score"))
-            return F.struct(end.alias("at"), F.array_append(state["all"], one).alias("all"))
-
-        pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all")), add, lambda s: s["all"])
+        steps = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(words_in(g).alias("gap"), (words_in(g) + words_in(h)).alias("step")))
+
+        def words_of(some: Column) -> Column:
+            return F.aggregate(some, F.lit(0).cast("long"), lambda n, x: n + x["step"])
+
+        # Words before each block of matches, then those before a match within its block: a fold over all matches would copy its list at each.
+        def blocks(of: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(of) - 1) / BLOCK_MATCHES), F.lit(0)).cast("int"))
+            nothing = F.array(F.lit(0).cast("long"))
+            return F.aggregate(numbers, nothing, lambda ahead, b: F.array_append(
+                ahead, F.element_at(ahead, -1) + words_of(F.slice(of, b * BLOCK_MATCHES + 1, F.lit(BLOCK_MATCHES)))))
+
+        def place(of: Column, ahead: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                block = F.floor(i / BLOCK_MATCHES).cast("int")
+                before = F.element_at(ahead, block + 1) + words_of(F.slice(of, block * BLOCK_MATCHES + 1, i % BLOCK_MATCHES))
+                return F.struct((before + x["gap"]).alias("start"), (-(before + x["step"])).alias("minus_end"), rule["priority"].alias("priority"),
+                                rule["label"].alias("label"), rule["score"].alias("score"))
+            return F.transform(of, one)
+
+        return bound(steps, lambda of: bound(blocks(of), lambda ahead: place(of, ahead)))
 
     hits = F.when(F.col("gates").isNotNull(), F.array_sort(F.flatten(F.transform(gated, detections))))
     none = F.struct(F.lit(0).cast("long").alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))

@@ -31,10 +31,11 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, text_hash, source, size, shuffle): words of each row and its place in its source's shuffled order."""
+    """(doc_id, text_hash, source, size, shuffle): words of each row and its place in its source's shuffled order, from id and text: rows of one id, null ids too, are spread."""
+    of_text = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("shuffle"),
+        F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), of_text)).alias("shuffle"),
     )
 
 
@@ -158,7 +159,7 @@ def oracle(table: str = "documents") -> str:
     weights = f"[{', '.join(f'{float(w)}::DOUBLE' for w in WEIGHTS)}]"
     return f"""
 WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-  md5(coalesce(doc_id::VARCHAR, 'null')) AS shuffle FROM {table}),
+  md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))) AS shuffle FROM {table}),
 named AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sizes GROUP BY source),
 weighed AS (SELECT *, {weights}[src % {len(WEIGHTS)} + 1] AS weight, source_size::DOUBLE * {MAX_REPEATS} AS lim FROM named),
 level AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(lim) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level

@@ -30,6 +30,14 @@ def test_empty(spark):
     assert hash_tree.assign(docs_of(spark, []), layout(24), layout(25)).count() == 0
 
 
+def test_null_ids_are_counted_in_many_buckets(spark):
+    docs = docs_of(spark, [(None, f"text {i}") for i in range(10_000)])
+    rows = hash_tree.drawn(docs, layout(24), layout(25))
+    assert rows.select("shard").distinct().count() == 1
+    assert rows.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 20
+    assert sorted(r.slot for r in hash_tree.assign(docs, layout(24), layout(25)).collect()) == list(range(10_000))
+
+
 def test_shares_follow_weights_and_growth_moves_only_into_the_new_shard(spark):
     keys = [str(i) for i in range(6000)]
     weighted = [Shard(0, "a", "a.0", 1.0), Shard(1, "a", "a.1", 2.0), Shard(2, "b", "b.0", 3.0)]

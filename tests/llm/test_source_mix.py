@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loanlag.llm import source_mix
 from tests.conftest import SF001
@@ -46,6 +47,14 @@ def test_empty_and_wordless(spark):
     assert [(r["size"], r.target, r.taken) for r in source_mix.mix(docs_of(spark, [(1, None), (2, " ")])).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_null_ids_are_shuffled_over_many_buckets(spark):
+    docs = docs_of(spark, [(None, f"some text {i}") for i in range(10_000)])
+    buckets = source_mix.sized(docs).groupBy(F.substring("shuffle", 1, 3)).count()
+    assert buckets.agg(F.max("count")).first()[0] < 20
+    got = source_mix.mix(docs).collect()
+    assert len(got) == 10_000 and sum(r.taken for r in got) == 30_000
+
+
 def test_schedule_follows_the_shares_all_along(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     per = source_mix.targets(source_mix.sized(docs)).cache()
