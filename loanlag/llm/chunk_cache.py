@@ -50,11 +50,16 @@ class Lists:
 
 def runs(texts: list[str], limit: int = 500_000) -> Iterator[slice]:
     """Runs of texts that hold about ``limit`` characters together, at least one text each."""
+    return runs_of([len(t) for t in texts], limit)
+
+
+def runs_of(sizes: list[int], limit: int) -> Iterator[slice]:
+    """Runs of ``sizes`` that add up to ``limit`` at most, or one of them each."""
     at = 0
-    while at < len(texts):
-        end, held = at + 1, len(texts[at])
-        while end < len(texts) and held + len(texts[end]) <= limit:
-            held += len(texts[end])
+    while at < len(sizes):
+        end, held = at + 1, sizes[at]
+        while end < len(sizes) and held + sizes[end] <= limit:
+            held += sizes[end]
             end += 1
         yield slice(at, end)
         at = end

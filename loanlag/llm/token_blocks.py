@@ -26,22 +26,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import Numbers, runs
+from .chunk_cache import Lists, Numbers, runs_of
 from .common import shared_folder, total_before
 
 BLOCK = 128
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Pieces that a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 1_000_000
+#: Parts of texts that a Python worker keeps, and their characters, as some may be very long; beyond either the cache starts anew.
+CACHE_PARTS = 1_000_000
+CACHE_CHARACTERS = 32_000_000
+#: Bytes of texts that are encoded at once, if there is more than one text.
+RUN_BYTES = 4_000_000
 #: Share of a block's differences that its width covers.
 PERCENTILE = 0.9
 #: A blank between two characters other than white space.
 LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, all of which are letters in any version of Unicode, and ASCII punctuation other than apostrophes.
+PLAIN_PIECE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 MAGIC, HEAD, END_ID = b"PFR1", struct.Struct("<4sIQI"), 0
 DOCUMENT = np.dtype([("null", "u1"), ("id", "<i8"), ("n", "<u4")])
 
@@ -137,91 +143,106 @@ class Segment:
 
 
 class LibraryEncoder:
-    """Texts to ids as the tokenizers library encodes them, each different piece encoded once.
+    """Texts to ids as the tokenizers library encodes them, each different part encoded once.
 
     A text is cut at its blanks.  Where a piece is empty or white space stands
     at its edge, the blanks were not alone; that text is cut again, at lone
     blanks only: between characters other than white space a tokenizer that
     splits before white space gives the same ids for the pieces, each with
-    its blank, as for the whole.  Pieces after a blank are keyed by what
-    follows the blank, a text's first piece by a tuple.
+    its blank, as for the whole.  The byte-level splitting rule also ends a
+    word of letters at punctuation, so there a piece is two parts, the
+    word with its blank and the punctuation; other pieces are one part.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.after_blank = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        rule = self.library.pre_tokenizer
+        self.cuts = isinstance(rule, ByteLevel) and rule.use_regex and not rule.add_prefix_space and self.library.normalizer is None
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = Numbers()
-        self.flat, self.crowded = np.array([], dtype="<u4"), np.array([], dtype=bool)
-        self.starts, self.sizes = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        self.numbers, self.lists, self.characters = Numbers(), Lists(), 0
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All pieces' ids and where each piece's begin."""
+        """All parts' ids and how many each has."""
         found = []
         for at in range(0, len(parts), 20_000):
             found += [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(parts[at:at + 20_000], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        return np.concatenate([np.array([], dtype="<u4"), *found]), np.cumsum(sizes) - sizes
+        return np.concatenate([np.array([], dtype="<u4"), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
     def encode_joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for what follows a blank, if it holds no blank and no white space at its edges.
+        """The same for parts that begin with their only blank and have no white space at their edges otherwise.
 
-        The pieces are encoded as one text, each after its blank: a token that
-        begins with a blank begins a piece.
+        They are encoded as one text: a token that begins with a blank begins a part.
         """
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.library.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
         begins = np.flatnonzero(self.after_blank[ids])
-        return (ids, begins) if len(begins) == len(parts) else self.encode([" " + p for p in parts])
+        return (ids, np.diff(np.append(begins, len(ids)))) if len(begins) == len(parts) else self.encode(parts)
 
     def learn(self) -> None:
-        """Encodes the fresh pieces."""
-        fresh, self.numbers.fresh = self.numbers.fresh, []
+        """Encodes the fresh parts."""
+        fresh = self.numbers.taken()
+        self.characters += sum(map(len, fresh))
         for at in range(0, len(fresh), 50_000):
             some = fresh[at:at + 50_000]
-            edges = [p[0] if p.__class__ is tuple else p for p in some]
-            crowded = np.array([not p or p.strip() != p for p in edges])
-            joined = ~crowded & np.array([p.__class__ is str and " " not in p for p in some])
-            starts, sizes = np.empty(len(some), dtype=np.int64), np.empty(len(some), dtype=np.int64)
-            alone = [p[0] if p.__class__ is tuple else " " + p for p, j in zip(some, joined, strict=True) if not j]
-            for which, (ids, begins) in (
-                (joined, self.encode_joined([p for p, j in zip(some, joined, strict=True) if j])), (~joined, self.encode(alone))):
-                starts[which] = begins + len(self.flat)
-                sizes[which] = np.diff(np.append(begins, len(ids)))
-                self.flat = np.concatenate([self.flat, ids])
-            self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-            self.crowded = np.concatenate([self.crowded, crowded])
-
-    def number(self, parts: list) -> np.ndarray:
-        parts[0] = (parts[0],)
-        return np.fromiter(map(self.numbers.__getitem__, parts), dtype=np.int64, count=len(parts))
-
-    def documents(self, texts: list[str]) -> list[np.ndarray]:
-        nothing = np.array([], dtype=np.int64)
-        codes = [self.number(t.split(" ")) if t else nothing for t in texts]
+            joined = np.array([p != " " and p.count(" ") == 1 and " " + p.strip() == p for p in some])
+            order = np.argsort(~joined, kind="stable")
+            n = int(joined.sum())
+            some = [some[i] for i in order.tolist()]
+            (ids, sizes), (more, more_sizes) = self.encode_joined(some[:n]), self.encode(some[n:])
+            batch = Lists()
+            batch.add(np.concatenate([ids, more]), np.concatenate([sizes, more_sizes]))
+            self.lists.add(*batch.take(np.argsort(order)))
+
+    def parts(self, pieces: list[str], blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers for each piece, those of its parts (the second may be that of the empty one), and which pieces are empty or have white space at an edge."""
+        number, plain = self.numbers.__getitem__, PLAIN_PIECE.fullmatch
+        out, crowded, none = [], np.zeros(len(pieces), dtype=bool), number("")
+        for at, p in enumerate(pieces):
+            if self.cuts and (m := plain(p)):
+                out.append(number(blank + m[1]))
+                out.append(number(m[2]))
+            else:
+                out.append(number(blank + p))
+                out.append(none)
+                crowded[at] = not p or p.strip() != p
+        return np.array(out, dtype=np.int64).reshape(-1, 2), crowded
+
+    def documents(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = cut.flatten().dictionary_encode()
+        pieces, piece = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        numbers, crowded = self.parts(pieces.tolist(), " ")
+        which = numbers[piece]
+        which[at[:-1]] = self.parts(pieces[piece[at[:-1]]].tolist(), "")[0]
+        again = [k for k in np.unique(np.searchsorted(at[1:], np.flatnonzero(crowded[piece]), side="right")).tolist() if texts[k].as_py()]
+        if again:
+            rows = np.split(which, at[1:-1])
+            for k in again:
+                first, *others = LONE_BLANK.split(texts[k].as_py())
+                rows[k] = np.concatenate([self.parts([first], "")[0], self.parts(others, " ")[0]])
+            which = np.concatenate(rows)
+            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         self.learn()
-        which = np.concatenate([nothing, *codes])
-        ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
-        crowded = np.unique(np.searchsorted(ends, np.flatnonzero(self.crowded[which]), side="right"))
-        if len(crowded):
-            for k in crowded.tolist():
-                codes[k] = self.number(LONE_BLANK.split(texts[k]))
-            self.learn()
-            which = np.concatenate([nothing, *codes])
-            ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
-        n = self.sizes[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.starts[which] - total[:-1], n) + np.arange(total[-1])]
-        if len(self.numbers) > CACHE_PIECES:
+        ids, n = self.lists.take(which.ravel())
+        ends = np.concatenate([[0], np.cumsum(n)])[2 * at[1:-1]]
+        if len(self.numbers) > CACHE_PARTS or self.characters > CACHE_CHARACTERS:
             self.forget()
-        return np.split(ids, total[ends[:-1]])[:len(texts)]
+        return np.split(ids.astype("<u4"), ends)
 
 
 @lru_cache(maxsize=2)
@@ -229,12 +250,26 @@ def worker_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def library_ids(tokenizer_path: str) -> Callable[[list[str]], list[np.ndarray]]:
+def library_ids(tokenizer_path: str) -> Callable[[pa.Array], list[np.ndarray]]:
     """Texts to arrays of ids, as the tokenizers library encodes the whole texts."""
     return lambda texts: worker_encoder(tokenizer_path).documents(texts)
 
 
-def write(docs: DataFrame, path: str, encode: Callable[[list[str]], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> None:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Keys and texts of batches, of as many together as reach ``RUN_BYTES``."""
+    keys: list[int | None] = []
+    texts: list[pa.Array] = []
+    for batch in batches:
+        keys += batch.column(0).to_pylist()
+        texts.append(batch.column(1))
+        if sum(t.nbytes for t in texts) >= RUN_BYTES:
+            yield keys, pa.concat_arrays(texts)
+            keys, texts = [], []
+    if keys:
+        yield keys, pa.concat_arrays(texts)
+
+
+def write(docs: DataFrame, path: str, encode: Callable[[pa.Array], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes all documents' ids as segments under ``path``, in ascending order of the ids (null first), then of a hash of the text.
 
     Each document's ids end with id 0; a null text counts as empty.  One row
@@ -258,9 +293,8 @@ def write(docs: DataFrame, path: str, encode: Callable[[list[str]], list[np.ndar
                 "bytes": pa.array([write_segment(doc_ids, ids)], pa.binary()),
             })
 
-        for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for run in runs(texts):
+        for keys, texts in gathered(batches):
+            for run in runs_of(pc.binary_length(texts).to_pylist(), RUN_BYTES):
                 for key, x in zip(keys[run], encode(texts[run]), strict=True):
                     doc_ids.append(key)
                     ids.append(np.append(x, np.uint32(END_ID)))
