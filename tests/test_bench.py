@@ -20,3 +20,4 @@ def test_bench_prints_one_json_line():
     assert out["unit"] == "sec" and out["sf"] == 0.001
     assert set(out["queries"]) == {"late_ratio_created", "factor_payback_country"}
     assert abs(out["value"] - sum(out["queries"].values())) < 1e-6
+    assert out["reference_value"] == out["value"] and out["training_value"] == 0
