@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +43,33 @@ def test_encoding(texts):
     assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["The", "élan", "×", "a÷b", "don't", "it.\nWho", "e\u0301t\u00e9", "ab", "", "x1", "<|endoftext|>", "\u1c89"]), max_size=6).map(" ".join), max_size=4),
+       st.sampled_from(["", ",", "!!", "&&&", "'", "'s", "_", "\n", "¿"]))
+def test_words_and_their_punctuation(texts, tail):
+    texts = [t.replace(" ", tail + " ") + tail for t in texts]
+    got = ENCODER.documents(pa.array(["left out", *texts], pa.string())[1:])
+    assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(token_blocks, "CACHE_PARTS", 3)
+    texts = ["one two, three", "", "four  five two,", "one two, three"]
+    for _ in range(2):
+        got = ENCODER.documents(texts)
+        assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not ENCODER.numbers
+
+
+def test_batches_are_gathered_whole(monkeypatch):
+    monkeypatch.setattr(token_blocks, "RUN_BYTES", 30)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([n, None], pa.int64()), "text": pa.array(["x" * n, "y"])}) for n in range(9)]
+    runs = list(token_blocks.gathered(iter(batches)))
+    assert len(runs) > 1
+    assert [k for keys, _ in runs for k in keys] == [k for n in range(9) for k in (n, None)]
+    assert [t for _, texts in runs for t in texts.to_pylist()] == [t for n in range(9) for t in ("x" * n, "y")]
+
+
 def want(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out, at = [], 0
