@@ -48,9 +48,9 @@ def _build_queries() -> dict[str, Query]:
             return fn
         return wrap
 
-    # W1: the five tables as the analysis sees them.
+    # W1: the five tables as the analysis sees them, each a DataFrame of its own: running one leaves the shared plans unrun.
     for table in ("users", "loans", "listings", "multi_payments", "credit_reports"):
-        reg(f"load_{table}")(lambda t, table=table: getattr(t, table))
+        reg(f"load_{table}")(lambda t, table=table: getattr(t, table).select("*"))
 
     # W2-W4
     reg("due_payments")(lambda t: due_payments(t.multi_payments, AS_OF))

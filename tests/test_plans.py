@@ -86,3 +86,11 @@ def test_all_factors_come_from_one_scan(spark):
         each = {(factor, None if r[0] is None else str(r[0]).lower() if isinstance(r[0], bool) else str(r[0])): (r.positive, r.negative) for r in factor_payback(reports, factor).collect()}
         assert each == {k: v for k, v in rows.items() if k[0] == factor}
     assert {r.factor for r in all_factor_payback(reports, ["Gender"]).collect()} == {"gender"}
+
+
+def test_a_loaded_table_that_ran_leaves_the_shared_plan_unrun(spark):
+    from loanlag.sources import load_fixture
+
+    for name in ("users", "credit_reports"):
+        QUERIES[f"load_{name}"](spark, SF001).collect()
+        assert "isFinalPlan=true" not in plan_text(getattr(load_fixture(spark, SF001), name))
